@@ -20,7 +20,7 @@ def upload_months(catalog: DataFrame) -> DataFrame:
     """One row per upload and calendar month it covers."""
     first, last = F.trunc("start_timestamp", "MM"), F.trunc("end_timestamp", "MM")
     months = F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
-    return _dated(catalog).withColumn("month", F.date_format(months, "yyyy-MM"))
+    return _dated(catalog).withColumn("month", months).withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 def user_periods(catalog: DataFrame) -> DataFrame:
@@ -44,10 +44,9 @@ def uploads_in_period(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """
     wanted = requests.select(USER, "period").distinct().withColumn("_b", period_bounds(F.col("period")))
     wanted = wanted.select(USER, "period", F.col("_b.start").alias("p_start"), F.col("_b.end").alias("p_end"))
-    wanted = wanted.filter(F.col("p_start").isNotNull()).withColumn(
-        "_months", F.sequence(F.trunc("p_start", "MM"), F.trunc("p_end", "MM"), F.expr("INTERVAL 1 MONTH"))
-    )
-    wanted = wanted.withColumn("month", F.date_format(F.explode("_months"), "yyyy-MM")).drop("_months")
+    months = F.explode(F.sequence(F.trunc("p_start", "MM"), F.trunc("p_end", "MM"), F.expr("INTERVAL 1 MONTH")))
+    wanted = wanted.filter(F.col("p_start").isNotNull()).withColumn("month", months)
+    wanted = wanted.withColumn("month", F.date_format("month", "yyyy-MM"))
     pairs = upload_months(catalog).select(USER, "id", "start_timestamp", "end_timestamp", "month").join(wanted, [USER, "month"])
     # A pair that shares several months is kept in the first shared month only.
     first_shared = F.date_format(F.greatest(F.col("start_timestamp").cast("timestamp"), "p_start"), "yyyy-MM")

@@ -1,7 +1,7 @@
 """Registered queries with their SQL counterparts."""
 
 from gridmeter.queries import (  # noqa: F401
-    scalars, sources,
+    aggregates, joins, quality, scalars, sources,
 )
 from gridmeter.queries.registry import ORACLE, QUERIES
 

@@ -222,13 +222,18 @@ def ctes(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in order)
 
 
+def nudge(digits: int) -> float:
+    """A shift far below the last kept digit, so that exact halves round alike whatever order a sum was added in."""
+    return 3 * 10.0 ** -(digits + 2)
+
+
 def finish(df: DataFrame, digits: int) -> DataFrame:
     """Stable output: doubles rounded, timestamps without zone."""
     out = []
     for name, kind in df.dtypes:
         col = F.col(f"`{name}`")
         if kind == "double":
-            col = F.round(col, digits) + F.lit(0.0)
+            col = F.round(col + F.lit(nudge(digits)), digits) + F.lit(0.0)
         elif kind == "timestamp":
             col = col.cast("timestamp_ntz")
         out.append(col.alias(name))
@@ -247,7 +252,7 @@ def query(name: str, sql: str | None = None, needs: str = "", doubles: str = "",
             text = f"{ctes(*needs.split()) if needs else ''}\n{sql.strip()}"
             if needs and sql.lstrip().startswith(","):
                 text = ctes(*needs.split()) + sql.strip()
-            rounded = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles.split())
+            rounded = ", ".join(f"round({c} + {nudge(digits):.0e}, {digits}) + 0.0 AS {c}" for c in doubles.split())
             replace = f" REPLACE ({rounded})" if rounded else ""
             ORACLE[name] = f"SELECT *{replace} FROM (\n{text}\n) AS result"
         return build
