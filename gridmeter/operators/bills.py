@@ -61,51 +61,75 @@ def month_year_matches(text: Column) -> Column:
     ))
 
 
-def bill_month(text: Column) -> Column:
+def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once per row.
+
+    Exploding a one-element array keeps the optimizer from copying a chain of regular expressions into every place that
+    reads its result.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_matches(df: DataFrame, text: Column, name: str) -> DataFrame:
+    return evaluate_once(df, name, month_year_matches(text))
+
+
+def with_bill_month(df: DataFrame, text: Column, name: str = "bill_month") -> DataFrame:
     """struct(month, year): the month-year near the "MONTH OF" label, else the first full date."""
     at = F.regexp_instr(text, F.lit(MONTH_LABEL))
     near = F.when(at > 0, F.substring(text, at, F.lit(MONTH_LABEL_REACH)))
-    labelled = F.get(F.filter(month_year_matches(near), lambda m: m["month"].isNotNull()), F.lit(0))
-    month, year = _group(text, DATE, 2).cast("int"), _group(text, DATE, 3).cast("int")
-    dated = F.when(month.between(1, 12), F.struct(month.alias("month"), year.alias("year")))
-    return F.when(
-        labelled.isNotNull(), F.struct(labelled["month"].alias("month"), labelled["year"].alias("year"))
-    ).otherwise(dated)
+    out = with_matches(df, near, "_near")
+    out = evaluate_once(out, "_labelled", F.get(F.filter("_near", lambda m: m["month"].isNotNull()), F.lit(0)))
+    out = evaluate_once(out, "_date", F.when(F.col("_labelled").isNull(), F.struct(
+        _group(text, DATE, 2).cast("int").alias("month"), _group(text, DATE, 3).cast("int").alias("year"))))
+    dated = F.when(F.col("_date.month").between(1, 12), F.col("_date"))
+    found = F.coalesce(F.col("_labelled").dropFields("units"), dated)
+    return evaluate_once(out, name, found).drop("_near", "_labelled", "_date")
 
 
-def bill_cost(text: Column) -> Column:
+def with_bill_cost(df: DataFrame, text: Column, name: str = "cost") -> DataFrame:
     """Amount: the labelled box, else the first amount after a date, else the median of the "Rs" amounts."""
-    amounts = F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(RUPEE_AMOUNT), F.lit(1)), _number))
-    n = F.size(amounts)
-    low = F.get(amounts, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(amounts, F.floor(n / 2).cast("int"))
-    return F.coalesce(
-        _number(_group(text, AMOUNT_BOX, 1)), _number(_group(text, AMOUNT_AFTER_DATE, 1)),
-        F.when(n > 0, (low + high) / 2),
-    )
+    exact = F.coalesce(_number(_group(text, AMOUNT_BOX, 1)), _number(_group(text, AMOUNT_AFTER_DATE, 1)))
+    out = evaluate_once(df, "_exact", exact)
+    listed = F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(RUPEE_AMOUNT), F.lit(1)), _number))
+    out = evaluate_once(out, "_amounts", F.when(F.col("_exact").isNull(), listed))
+    n = F.size("_amounts")
+    low = F.get("_amounts", F.floor((n - 1) / 2).cast("int"))
+    high = F.get("_amounts", F.floor(n / 2).cast("int"))
+    return evaluate_once(out, name, F.coalesce("_exact", F.when(n > 0, (low + high) / 2))).drop("_exact", "_amounts")
 
 
-def bill_units(text: Column, month: Column) -> Column:
+def with_bill_units(df: DataFrame, text: Column, month: str = "bill_month", name: str = "consumption") -> DataFrame:
     """Units: the history line of the bill month, else the meter row whose units and adjustment add up to its total."""
-    history = F.filter(
-        month_year_matches(text),
-        lambda m: (m["month"] == month["month"]) & (m["year"] == month["year"]) & m["units"].isNotNull(),
-    )
+    known = F.col(month).isNotNull()
+    out = with_matches(df, F.when(known, text), "_hits")
+    history = F.filter("_hits", lambda m: (
+        (m["month"] == F.col(f"{month}.month")) & (m["year"] == F.col(f"{month}.year")) & m["units"].isNotNull()
+    ))
+    out = evaluate_once(out, "_history", F.get(history, F.lit(0))["units"])
 
-    def tail(row: Column, group: int) -> Column:
-        return F.regexp_replace(F.regexp_extract(row, METER_ROW, group), "[oO°]", "0").try_cast("double")
+    def reading(row: Column) -> Column:
+        parts = F.split(F.regexp_replace(row, "[oO°]", "0"), r"\s+")
+        return F.transform(F.slice(parts, -3, 3), lambda x: x.try_cast("double"))
 
-    rows = F.regexp_extract_all(text, F.lit(METER_ROW), F.lit(0))
-    adding_up = F.filter(rows, lambda r: tail(r, 1) + tail(r, 2) == tail(r, 3))
-    return F.coalesce(F.get(history, F.lit(0))["units"], tail(F.get(adding_up, F.lit(0)), 3))
+    rows = F.when(known & F.col("_history").isNull(), F.regexp_extract_all(text, F.lit(METER_ROW), F.lit(0)))
+    out = evaluate_once(out, "_rows", F.transform(rows, reading))
+    adding_up = F.filter("_rows", lambda r: F.get(r, F.lit(0)) + F.get(r, F.lit(1)) == F.get(r, F.lit(2)))
+    total = F.get(F.get(adding_up, F.lit(0)), F.lit(2))
+    return evaluate_once(out, name, F.coalesce("_history", total)).drop("_hits", "_history", "_rows")
 
 
-def bill_summary_row(text: Column) -> Column:
+def with_summary_row(df: DataFrame, text: Column, name: str = "summary_row") -> DataFrame:
     """struct(month, year, cost, consumption) of the layout with a summary row; null without such a row."""
     near = F.substring(text, F.greatest(F.regexp_instr(text, F.lit(SUMMARY_LABEL)), F.lit(1)), F.lit(SUMMARY_REACH))
-    name, year = _group(near, SUMMARY_MONTH, 1), _group(near, SUMMARY_MONTH, 2)
-    after = F.regexp_extract(near, SUMMARY_MONTH + r"([\s\S]*)", 3)
-    payable = _group(after, SUMMARY_PAYABLE, 1)
+    out = evaluate_once(df, "_tail", near)
+    rest = SUMMARY_MONTH + r"([\s\S]*)"
+    out = evaluate_once(out, "_mark", F.struct(
+        _group(F.col("_tail"), rest, 1).alias("name"), _group(F.col("_tail"), rest, 2).alias("year"),
+        F.regexp_extract("_tail", rest, 3).alias("after")))
+    after = F.col("_mark.after")
+    out = evaluate_once(out, "_payable", _group(after, SUMMARY_PAYABLE, 1))
+    payable = F.col("_payable")
     round_sum = payable.try_cast("double")
     garbled = (round_sum >= GARBLED_RUPEE_LIMIT) & payable.startswith("7")
     cost = F.coalesce(
@@ -113,22 +137,30 @@ def bill_summary_row(text: Column) -> Column:
         _group(text, SUMMARY_TOTAL, 1).try_cast("double"),
     )
     months = F.array(*[F.lit(m) for m in SHORT_MONTHS])
-    return F.when(name.isNotNull(), F.struct(
-        F.array_position(months, F.upper(name)).cast("int").alias("month"),
-        (year.cast("int") + 2000).alias("year"),
+    row = F.when(F.col("_mark.name").isNotNull(), F.struct(
+        F.array_position(months, F.upper("_mark.name")).cast("int").alias("month"),
+        (F.col("_mark.year").cast("int") + 2000).alias("year"),
         cost.alias("cost"),
         _group(after, SUMMARY_UNITS, 1).try_cast("double").alias("consumption"),
     ))
+    return evaluate_once(out, name, row).drop("_tail", "_mark", "_payable")
 
 
-def _fields(text: Column) -> Column:
-    row = F.when(text.rlike(SUMMARY_MARK), bill_summary_row(text))
-    month = bill_month(text)
+def _with_fields(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """All fields of a text as struct `name`: the summary row if the text has one, else the labelled layout.
+
+    Each parser sees only the texts it is meant for; the others are passed as null and cost nothing.
+    """
+    out = with_summary_row(df, F.when(text.rlike(SUMMARY_MARK), text), "_row")
+    rest = F.when(F.col("_row").isNull(), text)
+    out = with_bill_month(out, rest, "_month")
+    out = with_bill_cost(out, rest, "_cost")
+    out = with_bill_units(out, rest, "_month", "_units")
     plain = F.struct(
-        month["month"].alias("month"), month["year"].alias("year"), bill_cost(text).alias("cost"),
-        F.when(month.isNotNull(), bill_units(text, month)).alias("consumption"),
+        F.col("_month.month").alias("month"), F.col("_month.year").alias("year"),
+        F.col("_cost").alias("cost"), F.col("_units").alias("consumption"),
     )
-    return F.when(row.isNotNull(), row).otherwise(plain)
+    return evaluate_once(out, name, F.coalesce(F.col("_row"), plain)).drop("_row", "_month", "_cost", "_units")
 
 
 def parse_bills(df: DataFrame, text: str = "text", second: str | None = None) -> DataFrame:
@@ -136,13 +168,12 @@ def parse_bills(df: DataFrame, text: str = "text", second: str | None = None) ->
 
     `second` names a second reading of the same bill; it is appended and tried when the first one gave no units.
     """
-    out = df.withColumn("_first", _fields(F.col(text)))
+    out = _with_fields(df, F.col(text), "_first")
     if second:
         retry = F.col("_first.consumption").isNull() & F.col("_first.month").isNotNull() & F.col(second).isNotNull()
-        again = F.when(retry, _fields(F.concat_ws("\n", text, second)))
-        out = out.withColumn("_again", again).withColumn(
-            "_first", F.when(F.col("_again.consumption").isNotNull(), F.col("_again")).otherwise(F.col("_first"))
-        ).drop("_again")
+        out = _with_fields(out, F.when(retry, F.concat_ws("\n", text, second)), "_again")
+        out = evaluate_once(out.withColumnRenamed("_first", "_only"), "_first", F.when(
+            F.col("_again.consumption").isNotNull(), F.col("_again")).otherwise(F.col("_only"))).drop("_only", "_again")
     names = F.array(*[F.lit(m) for m in MONTH_NAMES])
     label = F.concat_ws(" ", F.get(names, F.col("_first.month") - 1), F.col("_first.year").cast("string"))
     return out.withColumns({

@@ -124,7 +124,10 @@ def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _fit(regressor, df: DataFrame, cols: Sequence[str]) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="error")
-    return PipelineModel(stages=[assembler, regressor.fit(assembler.transform(df))])
+    rows = assembler.transform(df).select("features", regressor.getLabelCol()).persist()
+    model = regressor.fit(rows)
+    rows.unpersist()
+    return PipelineModel(stages=[assembler, model])
 
 
 def train_rf(train: DataFrame, cols: Sequence[str], trees: int = 50, depth: int = 8, seed: int = 42) -> PipelineModel:

@@ -115,7 +115,7 @@ def histogram(df: DataFrame, bins: int = 12, col: str = "energy_kwh", series: st
     binned = df.filter(F.col(col).isNotNull()).join(sized, series).groupBy(
         series, F.least(F.lit(bins - 1), F.floor(F.col(col) / F.col("_width")).cast("int")).alias("bin_index")
     ).agg(F.count("*").alias("n"))
-    return _dense_bins(sized, binned, bins, series, F.col("bin_index") * F.col("_width"))
+    return _dense_bins(sized, binned, bins, series, F.round(F.col("bin_index") * F.col("_width"), 2))
 
 
 def range_histogram(df: DataFrame, bins: int, col: str, series: str = "series_id") -> DataFrame:
@@ -135,5 +135,5 @@ def range_histogram(df: DataFrame, bins: int, col: str, series: str = "series_id
 def _dense_bins(sized: DataFrame, binned: DataFrame, bins: int, series: str, edge: Column) -> DataFrame:
     every = sized.withColumn("bin_index", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(binned, [series, "bin_index"], "left").select(
-        series, "bin_index", F.round(edge, 2).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n"),
+        series, "bin_index", edge.alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n"),
     )

@@ -1,7 +1,7 @@
 """Registered queries with their SQL counterparts."""
 
 from gridmeter.queries import (  # noqa: F401
-    aggregates, joins, quality, scalars, sources,
+    aggregates, bills, forecasting, grid, joins, quality, scalars, sources, windows,
 )
 from gridmeter.queries.registry import ORACLE, QUERIES
 
