@@ -72,7 +72,7 @@ def training_rows(t: Tables) -> tuple[DataFrame, list[str]]:
 , kept AS (SELECT * FROM basic WHERE lag_168 IS NOT NULL AND energy_kwh IS NOT NULL AND total_k IS NOT NULL AND
   lag_1 + lag_3 + lag_6 + lag_12 + lag_24 + lag_48 + lag_72 IS NOT NULL)
 SELECT series_id, column_name, count(*) FILTER (v IS NULL) AS null_count FROM (
-  UNPIVOT (SELECT series_id, COLUMNS(c -> c NOT IN ('series_id', 'ts', 'energy_kwh', 'total_k', 'avg_k', 'is_long_gap', 'is_energy_outlier', 'p90'))::DOUBLE FROM kept)
+  UNPIVOT (SELECT series_id, CAST(COLUMNS(* EXCLUDE (series_id, ts, energy_kwh, total_k, avg_k, is_long_gap, is_energy_outlier, p90)) AS DOUBLE) FROM kept)
   ON COLUMNS(* EXCLUDE (series_id)) INTO NAME column_name VALUE v) GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
     rows = t.features()
