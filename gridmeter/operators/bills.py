@@ -11,8 +11,8 @@ USER = "user_id"
 
 # What the bills print, and how scans tend to garble it.
 MONTH_PREFIXES = [
-    "^(जाने|नेवार|jan)", "^(फे|feb)", "^(मार|mar)", "^(एप|apr)", "^(मे$|may)", "^(जून|jun)",
-    "^(जुल|jul)", "^(ऑग|आग|aug)", "^(सप्|sep)", "^(ऑक्|आक्|oct)", "^(नो|nov)", "^(डिस|dec)",
+    "जाने|नेवार|jan", "फे|feb", "मार|mar", "एप|apr", "मे$|may", "जून|jun",
+    "जुल|jul", "ऑग|आग|aug", "सप्|sep", "ऑक्|आक्|oct", "नो|nov", "डिस|dec",
 ]
 SHORT_MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 MONTH_YEAR = r"([\p{L}\p{M}]{2,15})\s*[-–—]?\s*(20[0-9]{2})(?:\s+([0-9]{1,5})(?![0-9.]))?"
@@ -43,12 +43,15 @@ def _number(text: Column) -> Column:
 
 
 def month_index(word: Column) -> Column:
-    """Month of a word by its beginning; null for no or more than one candidate."""
-    lower = F.lower(word)
-    hits = F.filter(
-        F.array(*[F.when(lower.rlike(p), F.lit(i + 1)) for i, p in enumerate(MONTH_PREFIXES)]), lambda m: m.isNotNull()
-    )
-    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+    """Month of a word by its beginning, null for other words.
+
+    No beginning is the beginning of another one, so a word has one candidate at most and one expression finds it.
+    """
+    beginning = F.regexp_extract(F.lower(word), "^(" + "|".join(MONTH_PREFIXES) + ")", 1)
+    known = F.create_map(*[
+        F.lit(x) for i, forms in enumerate(MONTH_PREFIXES) for form in forms.split("|") for x in (form.rstrip("$"), i + 1)
+    ])
+    return F.try_element_at(known, beginning)
 
 
 def month_year_matches(text: Column) -> Column:

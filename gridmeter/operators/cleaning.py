@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridmeter.functions.scalars import non_negative
 from gridmeter.operators.chunks import CHUNK, chunk_of, chunk_window, gather, hour_index, spread
 from gridmeter.operators.rollup import complete_index, exact_sum
+from gridmeter.session import cut_lineage
 
 # Fixed values of the cleaning rules.
 MAX_GAP_HOURS = 3
@@ -107,7 +108,10 @@ def floor_negatives(df: DataFrame, col: str = "energy_kwh") -> DataFrame:
 
 
 def clean_hourly(hourly: DataFrame, series: str = "series_id", ts: str = "ts", scale: int | None = None) -> DataFrame:
-    """The whole cleaning chain: null timestamps, duplicates, complete index, short gaps, outliers, negatives."""
-    unique = dedup_measures(drop_null_ts(hourly, ts), series, ts, scale)
-    filled = fill_short_gaps(complete_index(unique, series, ts), MAX_GAP_HOURS, series, ts)
+    """The whole cleaning chain: null timestamps, duplicates, complete index, short gaps, outliers, negatives.
+
+    Both tables that are read twice are settled in the shared folder, so raw readings are scanned once.
+    """
+    unique = cut_lineage(dedup_measures(drop_null_ts(hourly, ts), series, ts, scale))
+    filled = cut_lineage(fill_short_gaps(complete_index(unique, series, ts), MAX_GAP_HOURS, series, ts))
     return floor_negatives(flag_outliers(filled, IQR_FACTOR, series))

@@ -145,16 +145,18 @@ def dashboard_month(merged: DataFrame, requests: DataFrame, rate: float = FLAT_R
     rows = merged.withColumn("period", F.date_format("ts", "yyyy-MM")).join(
         requests.select(USER, "period").distinct(), [USER, "period"]
     )
-    total = rows.groupBy(USER, "period").agg(F.sum("energy_kwh").alias("energy_kwh")).select(
-        USER, "period", F.lit("total").alias("section"), F.col("period").alias("label"), "energy_kwh",
+    keyed = rows.select(USER, "period", F.to_date("ts").alias("_date"), F.hour("ts").alias("_hour"), "energy_kwh")
+    user, period, date, hour = (F.col(c) for c in (USER, "period", "_date", "_hour"))
+    sums = keyed.groupingSets([[user, period], [user, period, date], [user, period, hour]], USER, "period", "_date", "_hour").agg(
+        F.sum("energy_kwh").alias("_sum"), F.avg("energy_kwh").alias("_mean")
     )
-    daily = rows.groupBy(USER, "period", F.date_format("ts", "yyyy-MM-dd").alias("label")).agg(
-        F.sum("energy_kwh").alias("energy_kwh")
-    ).withColumn("section", F.lit("daily"))
-    hourly = rows.groupBy(USER, "period", F.date_format("ts", "HH:00").alias("label")).agg(
-        F.avg("energy_kwh").alias("energy_kwh")
-    ).withColumn("section", F.lit("hourly"))
-    return total.unionByName(daily).unionByName(hourly).withColumn("cost", flat_cost(F.col("energy_kwh"), rate))
+    by_day, by_hour = date.isNotNull(), hour.isNotNull()
+    return sums.select(
+        USER, "period",
+        F.when(by_day, "daily").when(by_hour, "hourly").otherwise("total").alias("section"),
+        F.when(by_day, date.cast("string")).when(by_hour, F.format_string("%02d:00", hour)).otherwise(period).alias("label"),
+        F.when(by_hour, F.col("_mean")).otherwise(F.col("_sum")).alias("energy_kwh"),
+    ).withColumn("cost", flat_cost(F.col("energy_kwh"), rate))
 
 
 def dashboard_year(totals: DataFrame, latest: DataFrame, requests: DataFrame) -> DataFrame:

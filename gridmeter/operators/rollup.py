@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmeter.operators.chunks import CHUNK_ROWS, chunk_of, hour_index
+from gridmeter.session import cut_lineage
 
 
 def exact_sum(col: Column, scale: int | None = None) -> Column:
@@ -51,7 +52,10 @@ def hourly_spine(hourly: DataFrame, series: str = "series_id", ts: str = "ts") -
 
 
 def complete_index(hourly: DataFrame, series: str = "series_id", ts: str = "ts") -> DataFrame:
-    """Left-join the data to the complete hourly index; missing hours become all-null rows."""
+    """Left-join the data to the complete hourly index; missing hours become all-null rows.
+
+    The input is read twice, for its bounds and for its values, so pass a settled table rather than a raw scan.
+    """
     data = hourly.withColumn(ts, F.col(ts).cast("timestamp"))
     return hourly_spine(data, series, ts).join(data, [series, ts], "left")
 
@@ -69,5 +73,5 @@ def index_report(hourly: DataFrame, series: str = "series_id", ts: str = "ts") -
 
 def hourly_zero_filled(df: DataFrame, series: str = "series_id", ts: str = "ts", scale: int | None = None) -> DataFrame:
     """User hourly series: interval energies summed per hour, hours without readings count as zero."""
-    hourly = hourly_rollup(df, ["energy_kwh"], (), series, ts, scale)
+    hourly = cut_lineage(hourly_rollup(df, ["energy_kwh"], (), series, ts, scale))
     return complete_index(hourly, series, ts).withColumn("energy_kwh", F.coalesce("energy_kwh", F.lit(0.0)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmeter.operators.chunks import chunk_window, gather, hour_index, spread
+from gridmeter.session import cut_lineage
 
 PERCENTILE_BUCKETS = 64
 
@@ -21,7 +22,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Mappin
     """
     keys = list(keys)
     v = F.col(value)
-    counted = df.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counted = cut_lineage(df.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
     steps = F.array(*[F.lit(i / PERCENTILE_BUCKETS) for i in range(1, PERCENTILE_BUCKETS)])
     cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
     tagged = counted.join(cuts, keys).select(
@@ -79,15 +80,23 @@ def pair_corr(a: Column, b: Column) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], series: str = "series_id") -> DataFrame:
-    """All pairwise correlations of each series from one aggregate, as one row per matrix row."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.groupBy(series).agg(*[pair_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
+    """All pairwise correlations of each series, as one row per matrix row.
 
-    def cell(a: str, b: str) -> Column:
-        return F.col(f"`{a}|{b}`" if cols.index(a) <= cols.index(b) else f"`{b}|{a}`")
-
-    rows = F.array(*[F.struct(F.lit(a).alias("column_name"), *[cell(a, b).alias(b) for b in cols]) for a in cols])
-    return wide.select(series, F.explode(rows).alias("_row")).select(series, "_row.*")
+    A row is turned into its column pairs inside the task and reduced there by (series, pair), so what is shuffled is a
+    few sums per series and pair, and one short aggregate serves any number of columns.
+    """
+    pairs = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j
+    ])
+    long = df.select(series, F.explode(pairs).alias("_p")).select(series, "_p.*")
+    cells = long.groupBy(series, "i", "j").agg(pair_corr(F.col("x"), F.col("y")).alias("r"))
+    both = F.array_distinct(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
+                                    F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))
+    mirrored = cells.select(series, "r", F.explode(both).alias("_m")).select(series, "r", "_m.a", "_m.b")
+    matrix = mirrored.groupBy(series, "a").agg(*[F.max(F.when(F.col("b") == k, F.col("r"))).alias(c) for k, c in enumerate(cols)])
+    names = F.array(*[F.lit(c) for c in cols])
+    return matrix.select(series, F.get(names, F.col("a")).alias("column_name"), *cols)
 
 
 def target_correlation(df: DataFrame, target: str, cols: Sequence[str], series: str = "series_id") -> DataFrame:

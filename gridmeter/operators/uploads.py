@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.functions.scalars import coerce_double, format_timedelta, parse_ts
 from gridmeter.operators.quality import readiness
+from gridmeter.session import cut_lineage
 
 U = "upload_id"
 REQUIRED_COLUMNS = ["timestamp", "energy_consumption"]
@@ -61,7 +62,7 @@ def validate_uploads(rows: DataFrame, files: DataFrame | None = None) -> DataFra
     text = F.col("timestamp")
     parsed = rows.withColumn("ts", parse_ts(text)).withColumn("_kwh", coerce_double(F.col("energy_consumption")))
     header = F.col("header") if "header" in rows.columns else F.array(*[F.lit(c) for c in REQUIRED_COLUMNS])
-    # One row per (upload, timestamp) first: a huge upload is reduced in many tasks.
+    # One row per (upload, timestamp) first: a huge upload is reduced in many tasks, and texts are parsed once.
     per_ts = parsed.groupBy(U, "ts").agg(
         F.count("*").alias("_n"),
         F.count_if(text.isNull()).alias("_missing"),
@@ -70,6 +71,7 @@ def validate_uploads(rows: DataFrame, files: DataFrame | None = None) -> DataFra
         F.count_if(F.col("_kwh") < 0).alias("_negative"),
         F.max(header).alias("_header"),
     )
+    per_ts = cut_lineage(per_ts)
     base = per_ts.groupBy(U).agg(
         F.sum("_n").alias("records"), F.sum("_missing").alias("_missing"), F.sum("_invalid").alias("_invalid"),
         F.sum("_bad").alias("_bad"), F.sum("_negative").alias("_negative"), F.max("_header").alias("_header"),

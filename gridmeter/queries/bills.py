@@ -65,7 +65,7 @@ texts AS (SELECT bill_id, user_id, st, CASE st
     chr(10) || '4711 1.00 ' || units || ' ' || CASE WHEN pr = '1-URGENT' THEN 'o' ELSE '5' END || ' ' || CASE WHEN pr = '1-URGENT' THEN units ELSE units5 END || chr(10) END AS text
   FROM parts)
 """
-_MONTH_CASES = " ".join(f"WHEN regexp_matches(lower(word), '{p}') THEN {i + 1}" for i, p in enumerate(b.MONTH_PREFIXES))
+_MONTH_CASES = " ".join(f"WHEN regexp_matches(lower(word), '^({p})') THEN {i + 1}" for i, p in enumerate(b.MONTH_PREFIXES))
 _MY = r"([\p{L}\p{M}]{2,15})\s*[-–—]?\s*(20[0-9]{2})(?:\s+([0-9]{1,5})(?:[^0-9.]|$))?"
 PARSE_SQL = TEXTS_SQL.rstrip() + rf""",
 found AS (SELECT bill_id, generate_subscripts(w, 1) AS position, unnest(w) AS word, unnest(y) AS yr, unnest(u) AS un FROM (

@@ -12,7 +12,7 @@ from gridmeter.operators.features import basic_features, drop_incomplete, with_l
 from gridmeter.operators.forecast import naive
 from gridmeter.operators.rollup import complete_index, hourly_rollup, hourly_zero_filled
 from gridmeter.operators.stats import percentiles
-from gridmeter.session import prepare
+from gridmeter.session import cut_lineage, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,16 +40,16 @@ class Tables:
         return hourly_rollup(self.readings(series), ["energy_kwh", "k"], ["k"], scale=2)
 
     def grid(self, series: str = "event_type") -> DataFrame:
-        return complete_index(self.hourly(series))
+        return complete_index(cut_lineage(self.hourly(series)))
 
     def clean(self, series: str = "event_type") -> DataFrame:
-        return clean_hourly(self.hourly(series), scale=2)
+        return cut_lineage(clean_hourly(self.hourly(series), scale=2))
 
     def zero_filled(self, series: str = "user_id") -> DataFrame:
         return hourly_zero_filled(self.readings(series), scale=2)
 
     def features(self) -> DataFrame:
-        return drop_incomplete(basic_features(self.clean()))
+        return cut_lineage(drop_incomplete(basic_features(self.clean())))
 
     def predictions(self) -> DataFrame:
         """Naive predictions of the cleaned series, both horizons."""
