@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.functions.calendar import day_band, season, with_eda_calendar
 from gridmeter.functions.scalars import demand_class
-from gridmeter.operators.stats import adjusted_skewness, autocorrelation, percentiles, target_correlation
+from gridmeter.operators.stats import adjusted_skewness, autocorrelation, pair_corr, percentiles
 
 S, T, E = "series_id", "ts", "energy_kwh"
 
@@ -164,34 +164,30 @@ def severity_counts(peaks: DataFrame) -> DataFrame:
     return peaks.groupBy(S, "demand_level").agg(F.count("*").alias("n_hours"))
 
 
-def _extremes(profile: DataFrame, key: str, value: str, dimension: str) -> DataFrame:
-    """Key with the highest and with the lowest value; the smaller key wins a tie."""
-    k, v = F.col(key), F.col(value)
-    return profile.groupBy(S).agg(
-        F.max_by(k, F.struct(v, -k)).alias("highest_key"), F.max(v).alias("highest_value"),
-        F.min_by(k, F.struct(v, k)).alias("lowest_key"), F.min(v).alias("lowest_value"),
-    ).withColumn("dimension", F.lit(dimension))
-
-
 def profile_extremes(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Hour and weekday with extreme means, month with extreme total.
+    """Hour and weekday with extreme means, month with extreme total; the smaller key wins a tie.
 
-    Values are compared after rounding: sums of doubles differ in the last bits between runs.
+    One pass with grouping sets. Values are compared after rounding: sums of doubles differ in the last bits between runs.
     """
-    hourly = hourly_profile(df).withColumn("v", F.round("avg_energy_kwh", digits))
-    weekly = weekday_profile(df).withColumn("v", F.round("avg_energy_kwh", digits))
-    monthly = monthly_consumption(df).withColumn("v", F.round("total_energy_kwh", digits))
-    return (
-        _extremes(hourly, "hour", "v", "hour")
-        .unionByName(_extremes(weekly, "dayofweek_num", "v", "weekday"))
-        .unionByName(_extremes(monthly, "month", "v", "month"))
+    keyed = df.select(S, E, F.hour(T).alias("hour"), F.dayofweek(T).alias("weekday"), F.month(T).alias("month"))
+    names = ["hour", "weekday", "month"]
+    sets = [[F.col(S), F.col(name)] for name in names]
+    profiles = keyed.groupingSets(sets, S, *names).agg(F.avg(E).alias("_mean"), F.sum(E).alias("_sum"))
+    value = F.when(F.col("month").isNotNull(), F.col("_sum")).otherwise(F.col("_mean"))
+    dimension = F.coalesce(*[F.when(F.col(name).isNotNull(), F.lit(name)) for name in names])
+    k, v = F.col("k"), F.col("v")
+    return profiles.select(
+        S, dimension.alias("dimension"), F.coalesce(*names).alias("k"), F.round(value, digits).alias("v")
+    ).groupBy(S, "dimension").agg(
+        F.max_by(k, F.struct(v, -k)).alias("highest_key"), F.max(v).alias("highest_value"),
+        F.min_by(k, F.struct(v, k)).alias("lowest_key"), F.min(v).alias("lowest_value"),
     )
 
 
 def energy_insights(df: DataFrame, top_n: int = 5, digits: int = 9) -> DataFrame:
     """Household statistics per series; the peak threshold comes in as column `threshold`.
 
-    The aggregates need the grain of rows, of days and of hours of day, so each is one small keyed aggregate.
+    Day totals and hour-of-day means come from one pass with grouping sets, the rest from one keyed aggregate.
     """
     known = _known(df)
     weekend = F.dayofweek(T).isin(1, 7)
@@ -202,15 +198,21 @@ def energy_insights(df: DataFrame, top_n: int = 5, digits: int = 9) -> DataFrame
         F.avg(F.when(weekend, F.col(E))).alias("weekend_average"),
         F.avg((F.col(E) >= F.col("threshold")).cast("double")).alias("peak_demand_frequency"),
     )
-    days = daily_consumption(known).groupBy(S).agg(F.avg("total_energy_kwh").alias("average_daily"))
-    hours = _extremes(hourly_profile(known).withColumn("v", F.round("avg_energy_kwh", digits)), "hour", "v", "hour").select(
-        S, F.col("highest_key").alias("highest_hour"), F.col("lowest_key").alias("lowest_hour"),
+    keyed = known.select(S, E, F.to_date(T).alias("date"), F.hour(T).alias("hour"))
+    sets = keyed.groupingSets([[F.col(S), F.col("date")], [F.col(S), F.col("hour")]], S, "date", "hour").agg(
+        F.sum(E).alias("_sum"), F.round(F.avg(E), digits).alias("_mean")
+    )
+    hour, mean = F.col("hour"), F.col("_mean")
+    daily_and_hourly = sets.groupBy(S).agg(
+        F.avg(F.when(hour.isNull(), F.col("_sum"))).alias("average_daily"),
+        F.max_by(hour, F.when(hour.isNotNull(), F.struct(mean, -hour))).alias("highest_hour"),
+        F.min_by(hour, F.when(hour.isNotNull(), F.struct(mean, hour))).alias("lowest_hour"),
     )
     tops = top_hours(known, top_n).groupBy(S).agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "highest", F.struct("rank", T, E)))).alias("top_highest"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "lowest", F.struct("rank", T, E)))).alias("top_lowest"),
     )
-    return base.join(days, S).join(hours, S).join(tops, S)
+    return base.join(daily_and_hourly, S).join(tops, S)
 
 
 def top_hours(df: DataFrame, n: int = 5) -> DataFrame:
@@ -235,43 +237,59 @@ def error_by_hour(pred: DataFrame) -> DataFrame:
 
 
 def eda_summary(df: DataFrame, corr_cols: Sequence[str] = ()) -> DataFrame:
-    """All headline numbers of the exploratory report, in long form (section, metric, value)."""
-    parts = []
-
-    def add(section: str, wide: DataFrame) -> None:
-        metrics = [c for c in wide.columns if c != S]
-        numbers = wide.select(S, *[F.col(c).cast("double").alias(c) for c in metrics])
-        parts.append(numbers.unpivot([S], metrics, "metric", "value").withColumn("section", F.lit(section)))
-
-    overview = describe_energy(df)
-    seconds = F.unix_timestamp("end_ts") - F.unix_timestamp("start_ts")
-    add("dataset_overview", overview.select(S, "n_rows", F.round(seconds / 86400, 2).alias("duration_days")))
-    add("consumption_statistics", overview.select(S, "mean_kwh", "stddev_kwh", "variance_kwh", "min_kwh", "max_kwh"))
-    add("percentiles", percentiles(df, REPORT_PERCENTILES))
-    extremes = profile_extremes(df)
-    for name in ("hour", "weekday", "month"):
-        one = extremes.filter(F.col("dimension") == name)
-        add(f"{name}_analysis", one.select(S, "highest_key", "lowest_key", "highest_value", "lowest_value"))
-    sides = weekend_comparison(df).groupBy(S).agg(
-        F.max(F.when(F.col("is_weekend") == 0, F.col("mean_kwh"))).alias("weekday_average"),
-        F.max(F.when(F.col("is_weekend") == 1, F.col("mean_kwh"))).alias("weekend_average"),
+    """All headline numbers of the exploratory report, in long form (section, metric, value).
+
+    Four passes over the hourly table: everything that is a plain aggregate in the first, then demand counts (which need
+    the percentiles), profile extremes, autocorrelation.
+    """
+    weekend = F.dayofweek(T).isin(1, 7)
+    seconds = F.unix_timestamp(F.max(T)) - F.unix_timestamp(F.min(T))
+    points = F.array(*[F.lit(p) for p in REPORT_PERCENTILES.values()])
+    plain = {
+        "dataset_overview": {"n_rows": F.count("*"), "duration_days": F.round(seconds / 86400, 2)},
+        "consumption_statistics": {
+            "mean_kwh": F.avg(E), "stddev_kwh": F.stddev_samp(E), "variance_kwh": F.var_samp(E),
+            "min_kwh": F.min(E), "max_kwh": F.max(E),
+        },
+        "weekday_weekend_analysis": {
+            "weekday_average": F.avg(F.when(~weekend, F.col(E))), "weekend_average": F.avg(F.when(weekend, F.col(E))),
+        },
+        "variability_analysis": {
+            "stddev_kwh": F.stddev_samp(E), "coefficient_of_variation": F.stddev_samp(E) / F.nullif(F.avg(E), F.lit(0.0)),
+        },
+        "correlation_analysis": {c: pair_corr(F.col(E), F.col(c)) for c in corr_cols},
+    }
+    cells = {(section, metric): agg for section, metrics in plain.items() for metric, agg in metrics.items()}
+    first = df.groupBy(S).agg(
+        *[agg.cast("double").alias(f"c{i}") for i, agg in enumerate(cells.values())], F.percentile(E, points).alias("_q")
     )
-    add("weekday_weekend_analysis", sides)
-    demand = demand_counts(df).groupBy(S).agg(
-        F.sum(F.when(F.col("demand_level") == "high", F.col("n_hours")).otherwise(0)).alias("high_hours"),
-        F.sum(F.when(F.col("demand_level") == "critical", F.col("n_hours")).otherwise(0)).alias("critical_hours"),
+    values = [(*key, F.col(f"c{i}")) for i, key in enumerate(cells)]
+    values += [("percentiles", name, F.col("_q")[i]) for i, name in enumerate(REPORT_PERCENTILES)]
+    out = _long(first, values)
+
+    levels = df.join(percentiles(df, {"p90": 0.9, "p95": 0.95}), S).groupBy(S).agg(
+        F.count_if((F.col(E) >= F.col("p90")) & (F.col(E) < F.col("p95"))).alias("high_hours"),
+        F.count_if(F.col(E) >= F.col("p95")).alias("critical_hours"),
     )
-    add("peak_demand_analysis", demand)
-    add("variability_analysis", variability(df))
-    add("autocorrelation_analysis", autocorrelation(df))
-    if corr_cols:
-        pairs = target_correlation(df, E, corr_cols)
-        parts.append(pairs.select(S, F.col("column_name").alias("metric"), F.col("correlation").alias("value"),
-                                  F.lit("correlation_analysis").alias("section")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(S, "section", "metric", "value")
+    out = out.unionByName(_long(levels, [("peak_demand_analysis", c, F.col(c)) for c in ("high_hours", "critical_hours")]))
+    ends = ["highest_key", "lowest_key", "highest_value", "lowest_value"]
+    extremes = profile_extremes(df)
+    section = F.concat(F.col("dimension"), F.lit("_analysis"))
+    out = out.unionByName(_long(extremes, [(section, c, F.col(c)) for c in ends]))
+    lags = autocorrelation(df)
+    return out.unionByName(_long(lags, [("autocorrelation_analysis", c, F.col(c)) for c in lags.columns if c != S]))
+
+
+def _long(wide: DataFrame, values: Sequence[tuple]) -> DataFrame:
+    """One row per (section, metric, value) entry."""
+    rows = F.array(*[
+        F.struct(
+            (section if isinstance(section, Column) else F.lit(section)).alias("section"),
+            F.lit(metric).alias("metric"), value.cast("double").alias("value"),
+        )
+        for section, metric, value in values
+    ])
+    return wide.select(S, F.explode(rows).alias("_r")).select(S, "_r.*")
 
 
 __all__ = [
