@@ -32,8 +32,8 @@ ADVICE = {
 
 
 def _two(col: Column) -> Column:
-    """Two decimals; rounding finely first keeps halves stable whatever order a mean was added up in."""
-    return F.format_string("%.2f", F.round(F.round(col, 9), 2))
+    """Two decimals; the tiny shift keeps halves stable whatever order a mean was added up in."""
+    return F.format_string("%.2f", F.round(col + 1e-9, 2))
 
 
 def recommendations(history: DataFrame, peaks: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def _(t: Tables) -> DataFrame:
 , w AS (SELECT series_id, CASE WHEN max(energy_kwh) > 0 THEN max(energy_kwh) / 12 ELSE 1.0 END AS width FROM clean GROUP BY 1),
 b AS (SELECT series_id, least(11, CAST(floor(energy_kwh / width) AS INTEGER)) AS bin_index, count(*) AS n
       FROM clean JOIN w USING (series_id) WHERE energy_kwh IS NOT NULL GROUP BY 1, 2)
-SELECT e.series_id, e.bin_index, round(e.bin_index * e.width, 2) AS bin_start, coalesce(b.n, 0) AS n
+SELECT e.series_id, e.bin_index, floor((e.bin_index * e.width + 1e-9) * 100 + 0.5) / 100 AS bin_start, coalesce(b.n, 0) AS n
 FROM (SELECT series_id, width, CAST(unnest(range(12)) AS INTEGER) AS bin_index FROM w) e
 LEFT JOIN b ON b.series_id = e.series_id AND b.bin_index = e.bin_index""")
 def _(t: Tables) -> DataFrame:
@@ -245,7 +245,7 @@ def _(t: Tables) -> DataFrame:
     return stats.autocorrelation(t.grid())
 
 
-@query("a23_tou_summary", needs="priced", doubles="off_peak_energy_kwh off_peak_cost normal_energy_kwh normal_cost peak_energy_kwh peak_cost "
+@query("a23_tou_summary", needs="priced", digits=6, doubles="off_peak_energy_kwh off_peak_cost normal_energy_kwh normal_cost peak_energy_kwh peak_cost "
        "total_energy_kwh total_simulated_cost", sql="SELECT series_id, " + ", ".join(
     f"coalesce(sum(predicted) FILTER (tou_period = '{x}'), 0.0) AS {x}_energy_kwh, "
     f"coalesce(sum(predicted * rate) FILTER (tou_period = '{x}'), 0.0) AS {x}_cost" for x in ("off_peak", "normal", "peak")) + """,

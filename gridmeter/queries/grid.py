@@ -109,7 +109,7 @@ shifts AS (SELECT *, least(sp * fraction, sp - threshold, dp * fraction) AS amou
 """
 
 
-@query("g3_load_shifts", needs="priced", doubles="source_predicted_kwh threshold destination_predicted_kwh shiftable_energy_kwh estimated_cost_before "
+@query("g3_load_shifts", needs="priced", digits=6, doubles="source_predicted_kwh threshold destination_predicted_kwh shiftable_energy_kwh estimated_cost_before "
        "estimated_cost_after estimated_savings", sql=SHIFT_SQL + """
 SELECT series_id, source_ts, sp AS source_predicted_kwh, threshold, sr AS source_rate, dr AS destination_rate, destination_ts,
        dp AS destination_predicted_kwh, amount AS shiftable_energy_kwh, amount * sr AS estimated_cost_before, amount * dr AS estimated_cost_after,
@@ -118,7 +118,7 @@ def _(t: Tables) -> DataFrame:
     return shifting.load_shifts(t.forecast())
 
 
-@query("g4_shift_sensitivity", needs="priced", doubles="energy_shifted_kwh simulated_savings savings_percentage", sql=SHIFT_SQL + """
+@query("g4_shift_sensitivity", needs="priced", digits=6, doubles="energy_shifted_kwh simulated_savings savings_percentage", sql=SHIFT_SQL + """
 , base AS (SELECT series_id, sum(predicted * rate) AS baseline FROM priced GROUP BY 1)
 SELECT b.series_id, f.fraction AS shiftable_fraction, coalesce(sum(amount), 0.0) AS energy_shifted_kwh, coalesce(sum(amount * (sr - dr)), 0.0) AS simulated_savings,
        coalesce(sum(amount * (sr - dr)), 0.0) / any_value(baseline) * 100 AS savings_percentage
@@ -130,7 +130,7 @@ def _(t: Tables) -> DataFrame:
 DAILY = "baseline_cost optimized_simulated_cost estimated_savings savings_percentage energy_shifted"
 
 
-@query("g5_daily_savings", needs="priced", doubles=DAILY, sql=SHIFT_SQL + """
+@query("g5_daily_savings", needs="priced", digits=6, doubles=DAILY, sql=SHIFT_SQL + """
 , d AS (SELECT series_id, CAST(ts AS DATE) AS date, sum(predicted * rate) AS baseline_cost FROM priced GROUP BY 1, 2),
 s AS (SELECT series_id, CAST(source_ts AS DATE) AS date, sum(amount * (sr - dr)) AS saved, sum(amount) AS moved FROM shifts
       WHERE fraction = 0.2 AND amount > 0 GROUP BY 1, 2)
@@ -167,21 +167,21 @@ facts AS (SELECT * FROM past LEFT JOIN future USING (series_id))
 @query("g6_recommendations", needs="ugrid", sql=USER_SQL + """
 SELECT series_id, 1 AS rule_order, 'Shift flexible loads away from the evening peak.' AS recommendation,
   'Forecasted evening demand meets or exceeds the high-demand threshold.' AS reason, 'High' AS priority,
-  printf('Mean predicted evening demand = %.2f kWh', round(round(evening, 9), 2)) AS supporting_metric FROM facts WHERE evening >= threshold
+  printf('Mean predicted evening demand = %.2f kWh', round(evening + 1e-9, 2)) AS supporting_metric FROM facts WHERE evening >= threshold
 UNION ALL SELECT series_id, 2, 'Review appliance usage during high-consumption weekend periods.',
   'Measured weekend consumption is materially higher than weekday consumption.', 'Medium',
-  printf('Weekend average = %.2f vs weekday = %.2f kWh/hour', round(round(we, 9), 2), round(round(wd, 9), 2)) FROM facts WHERE we > wd * 1.1
+  printf('Weekend average = %.2f vs weekday = %.2f kWh/hour', round(we + 1e-9, 2), round(wd + 1e-9, 2)) FROM facts WHERE we > wd * 1.1
 UNION ALL SELECT series_id, 3, 'Consider shifting flexible loads away from repeated high-demand periods.',
   'Multiple predicted periods exceed the high-demand threshold.', 'Medium', 'Predicted peak periods = ' || peaks FROM facts WHERE peaks >= 2
 UNION ALL SELECT series_id, 4, 'Review always-on loads during overnight hours.',
   'Measured overnight consumption is unusually high relative to the household average.', 'Low',
-  printf('Overnight average = %.2f vs overall = %.2f kWh/hour', round(round(night, 9), 2), round(round(overall, 9), 2)) FROM facts WHERE overall <> 0 AND night > overall * 1.15""")
+  printf('Overnight average = %.2f vs overall = %.2f kWh/hour', round(night + 1e-9, 2), round(overall + 1e-9, 2)) FROM facts WHERE overall <> 0 AND night > overall * 1.15""")
 def _(t: Tables) -> DataFrame:
     history, pred = user_forecast(t)
     return advice.recommendations(history, costs.peak_forecast(pred))
 
 
-@query("g7_grid_summary", needs="priced", doubles="historical_average historical_maximum critical_threshold forecast_average peak_threshold "
+@query("g7_grid_summary", needs="priced", digits=6, doubles="historical_average historical_maximum critical_threshold forecast_average peak_threshold "
        "highest_predicted_demand tou_baseline_cost total_shiftable_energy potential_savings potential_optimized_cost potential_savings_percentage",
        sql=SHIFT_SQL + """
 , past AS (SELECT series_id, avg(energy_kwh) AS historical_average, max(energy_kwh) AS historical_maximum,

@@ -114,8 +114,8 @@ BASIC_ROWS = """
   SELECT 0 AS stage_order, 'raw' AS stage, series_id, ts FROM readings UNION ALL
   SELECT 1, 'hourly', series_id, ts FROM hourly UNION ALL SELECT 2, 'clean', series_id, ts FROM clean UNION ALL
   SELECT 3, 'features', series_id, ts FROM feature_rows UNION ALL
-  SELECT 4, 'train', series_id, ts FROM positioned WHERE pos <= floor(n * 0.7) UNION ALL
-  SELECT 5, 'test', series_id, ts FROM positioned WHERE pos > floor(n * 0.7) + floor(n * 0.15))
+  SELECT 4, 'train', series_id, ts FROM positioned WHERE pos <= floor(n * 0.7::DOUBLE) UNION ALL
+  SELECT 5, 'test', series_id, ts FROM positioned WHERE pos > floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE))
 SELECT stage_order, stage, series_id, count(*) AS n_rows, min(ts) AS start_ts, max(ts) AS end_ts FROM stages GROUP BY 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
     clean = t.clean()

@@ -229,7 +229,7 @@ def _(t: Tables) -> DataFrame:
 
 SPLIT_SQL = """, positions AS (SELECT series_id, ts, energy_kwh, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS pos,
   count(*) OVER (PARTITION BY series_id) AS n FROM clean WHERE energy_kwh IS NOT NULL AND total_k IS NOT NULL),
-split AS (SELECT *, CASE WHEN pos <= floor(n * 0.7) THEN 'train' WHEN pos <= floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split
+split AS (SELECT *, CASE WHEN pos <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validation' ELSE 'test' END AS split
   FROM positions)
 """
 
