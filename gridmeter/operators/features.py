@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from gridmeter.functions.calendar import with_cyclical, with_feature_calendar, with_interactions
 from gridmeter.operators.chunks import CHUNK, chunk_of, chunk_window, gather, hour_index, spread
 from gridmeter.operators.stats import percentiles
+from gridmeter.session import cut_lineage
 
 S, TS, E = "series_id", "ts", "energy_kwh"
 HISTORY = 168
@@ -225,7 +226,8 @@ def with_ewm(grid: DataFrame, spans: Sequence[int] = EWM_SPANS) -> DataFrame:
     """
     tagged = grid.withColumn("_h", hour_index(TS)).withColumn(CHUNK, chunk_of(F.col("_h")))
     names = [f"ewm_{s}" for s in spans]
-    slim = tagged.select(S, TS, E, "_h", CHUNK)
+    # Read by the chunk summaries, the carried states and the recursion itself, so it is settled once.
+    slim = cut_lineage(tagged.select(S, TS, E, "_h", CHUNK))
     carries = _ewm_carry(slim, spans)
     schema = T.StructType(
         [slim.schema[S], slim.schema[TS]] + [T.StructField(n, T.DoubleType()) for n in names]
