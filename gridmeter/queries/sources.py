@@ -95,9 +95,7 @@ def _(t: Tables) -> DataFrame:
         F.format_string("%.2f", "energy_kwh").alias("energy_consumption"),
     )
     rows.write.partitionBy("series_id").option("header", True).csv(path)
-    files = read_user_csv(t.spark, path)
-    folder = F.regexp_extract(F.input_file_name(), "series_id=([^/]+)/", 1)
-    return files.withColumn("upload_id", folder)
+    return read_user_csv(t.spark, path, "series_id=([^/]+)/").drop("header")
 
 
 @query("s6_sql_view", needs="readings", doubles="energy_kwh", sql="""

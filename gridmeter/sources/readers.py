@@ -21,6 +21,7 @@ METER_LOG_SCHEMA = T.StructType(
     + [T.StructField(name, T.DoubleType()) for name in METER_LOG_MEASURES]
 )
 USER_CSV_SCHEMA = "timestamp string, energy_consumption string"
+UPLOAD_PATTERN = r"([^/]+?)(?:\.[A-Za-z0-9]+)?$"
 
 
 def read_meter_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -38,17 +39,38 @@ def _null_words(col: Column) -> Column:
     return F.when(~F.trim(col).isin(USER_NULLS), col)
 
 
-def read_user_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Scan user reading files, every value as text; the upload id is the file name without its ending.
+def read_user_csv(spark: SparkSession, path: str | list[str], upload_pattern: str = UPLOAD_PATTERN) -> DataFrame:
+    """Scan user reading files, every value as text, each file by its own header line.
 
-    Columns are found by header name, so extra or reordered columns do not matter. A required column that no file
-    has comes back as null.
+    Files come from many users, so columns may be in any order, missing, or accompanied by others; a plain CSV scan
+    would apply the header of one file to all. Here each line is paired with the header of its file. `upload_pattern`
+    takes the upload id out of the file path. Column `header` lists the columns the file has.
     """
-    df = spark.read.options(header=True, inferSchema=False).csv(path)
-    required = [c.strip().split(" ")[0] for c in USER_CSV_SCHEMA.split(",")]
-    columns = [_null_words(F.col(c)).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in required]
-    upload = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
-    return df.select(upload.alias("upload_id"), *columns)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"), "value",
+    ).filter(F.trim("value") != "")
+    headers = lines.filter(F.col("_block") == 0).groupBy("_file").agg(
+        F.min_by("value", "_line").alias("_header"), F.min("_line").alias("_first")
+    )
+    width = headers.agg(F.max(F.size(F.split("_header", ",")))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+
+    def cells(line: str) -> Column:
+        row = F.from_csv(F.col(line), schema, {"mode": "PERMISSIVE"})
+        return F.array(*[row[f"c{i}"] for i in range(width)])
+
+    named = headers.select(
+        "_file", "_first", F.filter(F.transform(cells("_header"), F.trim), lambda c: c.isNotNull()).alias("header")
+    )
+    rows = lines.join(named, "_file").filter(F.col("_line") != F.col("_first")).select(
+        F.regexp_extract("_file", upload_pattern, 1).alias("upload_id"), "header", cells("value").alias("_cells"),
+    )
+    values = {
+        c: _null_words(F.get("_cells", (F.array_position("header", c) - 1).cast("int")))
+        for c in ("timestamp", "energy_consumption")
+    }
+    return rows.select("upload_id", *[v.alias(c) for c, v in values.items()], "header")
 
 
 def parse_user_lines(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -54,10 +54,19 @@ def test_missing_columns_and_empty_files(spark):
     assert {r.status for r in got.values()} == {"INVALID"}
 
 
-def test_null_words_and_extra_columns(spark, tmp_path):
-    (tmp_path / "u1.csv").write_text("extra,energy_consumption,timestamp\nx,NA,2024-01-01\ny,1.5,NaN\n")
-    got = sorted(map(tuple, read_user_csv(spark, str(tmp_path)).fillna("-").collect()))
-    assert got == [("u1", "-", "1.5"), ("u1", "2024-01-01", "-")]
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "u1.csv").write_text("extra,energy_consumption,timestamp\nx,NA,2024-01-01\n\n\"y,z\",1.5,NaN\n")
+    (tmp_path / "u2.csv").write_text("timestamp,energy_consumption\r\n2024-01-02,2.5\r\ntimestamp,energy_consumption\r\n2024-01-03\r\n")
+    (tmp_path / "u3.csv").write_text("timestamp,kwh\n2024-01-04,3\n")
+    rows = read_user_csv(spark, str(tmp_path))
+    got = sorted((r.upload_id, r.timestamp or "-", r.energy_consumption or "-") for r in rows.collect())
+    assert got == [
+        ("u1", "-", "1.5"), ("u1", "2024-01-01", "-"), ("u2", "2024-01-02", "2.5"), ("u2", "2024-01-03", "-"),
+        ("u2", "timestamp", "energy_consumption"), ("u3", "2024-01-04", "-"),
+    ]
+    verdicts = {r.upload_id: r.errors for r in validate_uploads(rows).collect()}
+    assert verdicts["u3"] == ["Missing required column: energy_consumption"]
+    assert verdicts["u2"] == ["Found 1 invalid unparseable timestamps."]
     lines = spark.createDataFrame([("2024-01-01,",)], "line string")
     assert tuple(parse_user_lines(lines).first()) == ("2024-01-01", None)
 
