@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.functions.scalars import coerce_double, format_timedelta, parse_ts
 from gridmeter.operators.quality import readiness
+from gridmeter.operators.rollup import hourly_zero_filled
 from gridmeter.session import cut_lineage
 
 U = "upload_id"
@@ -125,3 +126,23 @@ def validate_uploads(rows: DataFrame, files: DataFrame | None = None) -> DataFra
         F.when(checked, F.col("interval_seconds")).alias("interval_seconds"),
         "forecasting_readiness", "warnings", "errors",
     )
+
+
+def user_hourly(rows: DataFrame, scale: int | None = None) -> DataFrame:
+    """Zero-filled hourly series (series_id = upload) of the uploads that can be forecast.
+
+    An upload with an unreadable or repeated timestamp, or with a missing, non-numeric or negative energy, is left out as
+    a whole; `validate_uploads` says why.
+    """
+    parsed = rows.select(
+        F.col(U).alias("series_id"), parse_ts(F.col("timestamp")).alias("ts"),
+        coerce_double(F.col("energy_consumption")).alias("energy_kwh"),
+    )
+    per_ts = cut_lineage(parsed.groupBy("series_id", "ts").agg(
+        F.count("*").alias("_n"), F.first("energy_kwh").alias("energy_kwh"),
+        F.count_if(F.col("energy_kwh").isNull() | (F.col("energy_kwh") < 0)).alias("_bad"),
+    ))
+    broken = F.col("ts").isNull() | (F.col("_n") > 1) | (F.col("_bad") > 0)
+    rejected = per_ts.filter(broken).select("series_id").distinct()
+    usable = per_ts.join(rejected, "series_id", "left_anti")
+    return hourly_zero_filled(usable.select("series_id", "ts", "energy_kwh"), scale=scale)

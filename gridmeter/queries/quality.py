@@ -9,7 +9,7 @@ from gridmeter.operators.cleaning import dedup_measures, drop_null_ts, flag_outl
 from gridmeter.operators.features import basic_features, drop_incomplete
 from gridmeter.operators.costs import with_critical
 from gridmeter.operators.split import chronological_split
-from gridmeter.operators.uploads import sampling_interval, validate_uploads
+from gridmeter.operators.uploads import sampling_interval, user_hourly, validate_uploads
 from gridmeter.queries.registry import Tables, query
 from gridmeter.queries.sources import VALIDATE_SQL, meter_log, upload_rows
 from gridmeter.sources.readers import METER_LOG_MEASURES
@@ -230,3 +230,14 @@ SELECT series_id, date_trunc('second', min(ts)) AS start_ts, date_trunc('second'
 FROM readings GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     return q.bounds(with_timestamp(meter_log(t)))
+
+
+@query("a2_user_hourly", needs="readings", doubles="energy_kwh", sql=VALIDATE_SQL.rstrip() + """,
+usable AS (SELECT upload_id FROM parsed GROUP BY 1 HAVING count(*) = count(DISTINCT t) AND count(*) = count(kwh) AND min(kwh) >= 0),
+h AS (SELECT upload_id, date_trunc('hour', t) AS ts, CAST(sum(CAST(kwh AS DECIMAL(18,2))) AS DOUBLE) AS energy_kwh
+      FROM parsed JOIN usable USING (upload_id) GROUP BY 1, 2)
+SELECT s.upload_id AS series_id, s.ts, coalesce(h.energy_kwh, 0.0) AS energy_kwh FROM (
+  SELECT upload_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM h GROUP BY 1) s
+LEFT JOIN h ON h.upload_id = s.upload_id AND h.ts = s.ts""")
+def _(t: Tables) -> DataFrame:
+    return user_hourly(upload_rows(t), scale=2)

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gridmeter.functions import bill_month_key, format_timedelta, parse_ts, period_bounds, previous_period
-from gridmeter.operators.uploads import sampling_interval, validate_uploads
+from gridmeter.operators.uploads import sampling_interval, user_hourly, validate_uploads
 from gridmeter.sources import parse_user_lines, read_user_csv
 
 ROWS = "upload_id string, timestamp string, energy_consumption string"
@@ -96,3 +96,13 @@ def test_periods(spark):
     assert one(spark, bill_month_key(F.lit("August 2026"))) == 2026 * 12 + 8
     assert one(spark, bill_month_key(F.lit("soon"))) is None
     assert one(spark, format_timedelta(F.lit(93784))) == "1 days 02:03:04"
+
+
+def test_hourly_series_of_usable_uploads_only(spark):
+    rows = [
+        ("ok", "2024-01-01 00:10", "1"), ("ok", "2024-01-01 00:40", "2"), ("ok", "2024-01-01 02:10", "4"),
+        ("dup", "2024-01-01", "1"), ("dup", "2024-01-01", "1"), ("neg", "2024-01-01", "-1"), ("text", "2024-01-01", "x"),
+        ("time", "soon", "1"), ("time", "2024-01-01", "1"),
+    ]
+    got = user_hourly(spark.createDataFrame(rows, ROWS)).orderBy("ts").collect()
+    assert [(r.series_id, r.ts.hour, r.energy_kwh) for r in got] == [("ok", 0, 3.0), ("ok", 1, 0.0), ("ok", 2, 4.0)]
