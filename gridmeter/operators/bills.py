@@ -57,10 +57,11 @@ def month_index(word: Column) -> Column:
 def month_year_matches(text: Column) -> Column:
     """All "<month word> [-] <year> [number]" occurrences as array<struct<month, year, units>>."""
     found = F.regexp_extract_all(text, F.lit(MONTH_YEAR), F.lit(0))
+    # A hit is a word, then the first digits are the year, then the units may follow: short patterns take it apart.
     return F.transform(found, lambda hit: F.struct(
-        month_index(F.regexp_extract(hit, MONTH_YEAR, 1)).alias("month"),
-        F.regexp_extract(hit, MONTH_YEAR, 2).cast("int").alias("year"),
-        _group(hit, MONTH_YEAR, 3).try_cast("double").alias("units"),
+        month_index(F.regexp_extract(hit, r"^[\p{L}\p{M}]+", 0)).alias("month"),
+        F.regexp_extract(hit, "20[0-9]{2}", 0).cast("int").alias("year"),
+        _group(hit, r"20[0-9]{2}\s+([0-9]+)$", 1).try_cast("double").alias("units"),
     ))
 
 
@@ -126,10 +127,11 @@ def with_summary_row(df: DataFrame, text: Column, name: str = "summary_row") ->
     """struct(month, year, cost, consumption) of the layout with a summary row; null without such a row."""
     near = F.substring(text, F.greatest(F.regexp_instr(text, F.lit(SUMMARY_LABEL)), F.lit(1)), F.lit(SUMMARY_REACH))
     out = evaluate_once(df, "_tail", near)
-    rest = SUMMARY_MONTH + r"([\s\S]*)"
+    out = evaluate_once(out, "_hit", _group(F.col("_tail"), SUMMARY_MONTH, 0))
+    end = F.position(F.col("_hit"), F.col("_tail")) + F.length("_hit")
     out = evaluate_once(out, "_mark", F.struct(
-        _group(F.col("_tail"), rest, 1).alias("name"), _group(F.col("_tail"), rest, 2).alias("year"),
-        F.regexp_extract("_tail", rest, 3).alias("after")))
+        _group(F.col("_hit"), SUMMARY_MONTH, 1).alias("name"), _group(F.col("_hit"), SUMMARY_MONTH, 2).alias("year"),
+        F.substring(F.col("_tail"), end, F.lit(SUMMARY_REACH)).alias("after")))
     after = F.col("_mark.after")
     out = evaluate_once(out, "_payable", _group(after, SUMMARY_PAYABLE, 1))
     payable = F.col("_payable")
@@ -146,7 +148,7 @@ def with_summary_row(df: DataFrame, text: Column, name: str = "summary_row") ->
         cost.alias("cost"),
         _group(after, SUMMARY_UNITS, 1).try_cast("double").alias("consumption"),
     ))
-    return evaluate_once(out, name, row).drop("_tail", "_mark", "_payable")
+    return evaluate_once(out, name, row).drop("_tail", "_hit", "_mark", "_payable")
 
 
 def _with_fields(df: DataFrame, text: Column, name: str) -> DataFrame:
