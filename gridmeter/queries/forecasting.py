@@ -9,7 +9,7 @@ from gridmeter.operators.quality import null_counts
 from gridmeter.operators.split import chronological_split, tail_per_series, with_target
 from gridmeter.queries.registry import Tables, query
 from gridmeter.queries.windows import BASIC_SQL
-from gridmeter.session import shared_folder
+from gridmeter.session import cut_lineage, shared_folder
 
 COVARIATES = ["total_k", "avg_k"]
 
@@ -64,7 +64,7 @@ def _(t: Tables) -> DataFrame:
 
 def training_rows(t: Tables) -> tuple[DataFrame, list[str]]:
     """Basic features labelled by chronological split, and the columns a model may use."""
-    split = chronological_split(t.features())
+    split = cut_lineage(chronological_split(t.features()))
     return split, f.feature_columns(split, [*COVARIATES, "pos", "split"])
 
 
@@ -101,8 +101,8 @@ def _(t: Tables) -> DataFrame:
 
 
 def advanced_rows(t: Tables) -> tuple[DataFrame, list[str]]:
-    rows = f.drop_incomplete(f.advanced_features(t.clean().select("series_id", "ts", "energy_kwh")))
-    return chronological_split(rows), f.feature_columns(rows)
+    rows = cut_lineage(f.drop_incomplete(f.advanced_features(t.clean().select("series_id", "ts", "energy_kwh"))))
+    return cut_lineage(chronological_split(rows)), f.feature_columns(rows)
 
 
 @query("m7_tuned_boosted_trees")
