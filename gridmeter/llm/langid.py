@@ -144,10 +144,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", seed: int = 7,
     centers = [np.array(r["centers"], dtype=np.float32).reshape(-1, DIMS) for r in fitted]
     low = np.array([[np.nan if v is None else v for v in r["low"]] for r in fitted], dtype=np.float64)
     floor = np.where(np.isnan(low).all(axis=0), np.inf, np.nan_to_num(low, nan=np.inf).min(axis=0))
-    # A class that no sample fell in takes the floor of the next shorter one.
+    # A class that no sample fell in takes the floor of the next shorter one; below the shortest, half of that one's.
+    known = floor[np.isfinite(floor)]
     for bucket in range(BUCKETS):
         if not np.isfinite(floor[bucket]):
-            floor[bucket] = floor[bucket - 1] if bucket else 0.0
+            floor[bucket] = floor[bucket - 1] if bucket else known[0] / 2
     owner = np.repeat(np.arange(len(fitted)), [len(c) for c in centers])
     floor[:SHORT] = 0.0
     return Model([r["lang"] for r in fitted], np.concatenate(centers), owner, idf, floor * SLACK)

@@ -194,6 +194,8 @@ def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
 def _answers(replies: list[tuple[int, bytes]], order: np.ndarray, names: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The bits of all buckets, in the order of the entries that were sent."""
     out = np.zeros(len(order), dtype=bool)
+    if not len(order):
+        return out
     size = dict(zip(names.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True), strict=True))
     for bucket, bits in replies:
         lo, hi = size[bucket]
