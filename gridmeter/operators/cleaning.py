@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridmeter.functions.scalars import non_negative
 from gridmeter.operators.chunks import CHUNK, chunk_of, chunk_window, gather, hour_index, spread
 from gridmeter.operators.rollup import complete_index, exact_sum
+from gridmeter.operators.stats import exact_percentiles
 from gridmeter.session import cut_lineage
 
 # Fixed values of the cleaning rules.
@@ -77,19 +78,23 @@ def fill_short_gaps(df: DataFrame, max_gap: int = MAX_GAP_HOURS, series: str = "
     return filled.drop("_h", "_left", "_right", "_before", "_after")
 
 
-def outlier_bounds(df: DataFrame, factor: float = IQR_FACTOR, series: str = "series_id") -> DataFrame:
+def outlier_bounds(df: DataFrame, factor: float = IQR_FACTOR, series: str = "series_id", raw: bool = False) -> DataFrame:
     """Lower and upper IQR bound per series.
 
-    Exact percentiles of an hourly series hold at most one value per hour of its calendar span.
+    Exact percentiles of an hourly series hold at most one value per hour of its calendar span. For `raw` readings, whose
+    series have no bound, the values of a series are split over tasks; a series without a value then has no bounds.
     """
-    quartiles = df.groupBy(series).agg(F.percentile("energy_kwh", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    if raw:
+        quartiles, q1, q3 = exact_percentiles(df, [series], "energy_kwh", {"_q1": 0.25, "_q3": 0.75}), F.col("_q1"), F.col("_q3")
+    else:
+        quartiles = df.groupBy(series).agg(F.percentile("energy_kwh", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+        q1, q3 = F.col("_q")[0], F.col("_q")[1]
     return quartiles.select(
         series, (q1 - factor * (q3 - q1)).alias("lower_bound"), (q3 + factor * (q3 - q1)).alias("upper_bound"),
     )
 
 
-def flag_outliers(df: DataFrame, factor: float = IQR_FACTOR, series: str = "series_id") -> DataFrame:
+def flag_outliers(df: DataFrame, factor: float = IQR_FACTOR, series: str = "series_id", raw: bool = False) -> DataFrame:
     """Flag readings outside the IQR bounds of their series; null is no outlier and no row is removed.
 
     The bounds join carries no broadcast hint: with millions of series they may be large, so the choice is left to the
@@ -97,7 +102,7 @@ def flag_outliers(df: DataFrame, factor: float = IQR_FACTOR, series: str = "seri
     """
     outside = (F.col("energy_kwh") > F.col("upper_bound")) | (F.col("energy_kwh") < F.col("lower_bound"))
     return (
-        df.join(outlier_bounds(df, factor, series), series)
+        df.join(outlier_bounds(df, factor, series, raw), series, "left")
         .withColumn("is_energy_outlier", F.coalesce(outside, F.lit(False)).cast("int"))
         .drop("lower_bound", "upper_bound")
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -239,17 +240,20 @@ def with_ewm(grid: DataFrame, spans: Sequence[int] = EWM_SPANS) -> DataFrame:
         seed_h = pdf["_carry_h"].iloc[0]
         gap = 0 if pd.isna(seed_h) else int(pdf["_h"].iloc[0] - seed_h)
         for span, name in zip(spans, names):
-            values = pdf[E].astype("float64")
+            values = pdf[E].astype("float64").to_numpy().copy()
+            before = float("nan")
+            known = np.flatnonzero(~np.isnan(values))
             if gap:
-                seed = pd.Series([pdf[f"_carry_{span}"].iloc[0]] + [float("nan")] * (min(gap, 20000) - 1))
-                values = pd.concat([seed, values], ignore_index=True)
-            mean = values.ewm(span=span, adjust=False).mean()
+                # The weight of the carried mean has decayed over all hours up to the first known one, however many.
+                before, alpha = float(pdf[f"_carry_{span}"].iloc[0]), 2 / (span + 1)
+                if len(known):
+                    weight = (1 - alpha) ** (gap + int(known[0]))
+                    values[known[0]] = (weight * before + alpha * values[known[0]]) / (weight + alpha)
+            mean = pd.Series(values).ewm(span=span, adjust=False).mean().to_numpy()
+            mean[: known[0] if len(known) else len(mean)] = before
             # Shift by one hour so that the row's own value is not part of its feature.
-            if gap:
-                shifted = mean.shift(1).iloc[-len(pdf):]
-            else:
-                shifted = mean.shift(1)
-            out[name] = shifted.to_numpy()
+            shifted = np.concatenate(([before], mean[:-1]))
+            out[name] = shifted
         return out
 
     means = (

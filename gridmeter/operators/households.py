@@ -88,9 +88,15 @@ def merge_uploads(readings: DataFrame, catalog: DataFrame, scale: int | None = N
     )
 
 
-def period_totals(merged: DataFrame, rate: float = FLAT_RATE_PER_KWH) -> DataFrame:
-    """Energy and flat-rate cost of every month and year of every user; years add up the months."""
-    months = merged.groupBy(USER, F.date_format("ts", "yyyy-MM").alias("period")).agg(F.sum("energy_kwh").alias("consumption_kwh"))
+def period_totals(merged: DataFrame, catalog: DataFrame, rate: float = FLAT_RATE_PER_KWH) -> DataFrame:
+    """Energy and flat-rate cost of every month and year of every user; years add up the months.
+
+    Hours without a reading count as zero, so a month that an upload of the catalog covers is there with 0 kWh even if no
+    reading falls into it. Months are enough for that; no hours are filled.
+    """
+    covered = upload_months(catalog).select(USER, F.col("month").alias("period")).distinct()
+    read = merged.groupBy(USER, F.date_format("ts", "yyyy-MM").alias("period")).agg(F.sum("energy_kwh").alias("consumption_kwh"))
+    months = covered.join(read, [USER, "period"], "full").select(USER, "period", F.coalesce("consumption_kwh", F.lit(0.0)).alias("consumption_kwh"))
     years = months.groupBy(USER, F.substring("period", 1, 4).alias("period")).agg(
         F.sum("consumption_kwh").alias("consumption_kwh")
     )

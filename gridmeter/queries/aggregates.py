@@ -144,7 +144,7 @@ def _orders_series(t: Tables) -> DataFrame:
     rows = t.table("orders").select(
         F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.col("o_totalprice").alias("energy_kwh"))
-    return hourly_rollup(rows, scale=2).withColumn("energy_kwh", F.col("energy_kwh") / 1000)
+    return hourly_rollup(rows, scale=9).withColumn("energy_kwh", F.col("energy_kwh") / 1000)
 
 
 ORDERS_SERIES = """, s AS (SELECT o_orderpriority AS series_id, o_orderdate AS ts,

@@ -50,7 +50,7 @@ SELECT l_returnflag AS series_id, l_shipdate AS ts, CAST(sum(CAST(l_quantity AS
        CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_sub_metering_1, avg(l_discount) AS avg_voltage
 FROM lineitem GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
-    return dedup_measures(_shipped(t), scale=2)
+    return dedup_measures(_shipped(t), scale=9)
 
 
 @query("q5_drop_null_ts", needs="readings", sql="""
@@ -76,7 +76,7 @@ SELECT series_id, count(*) AS n_rows, count(*) FILTER (k >= 10 AND (energy_kwh >
        AS outliers FROM readings JOIN b USING (series_id) GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     known = t.readings().withColumn("energy_kwh", F.when(F.col("k") >= 10, F.col("energy_kwh")))
-    return flag_outliers(known, 2.0).groupBy("series_id").agg(
+    return flag_outliers(known, 2.0, raw=True).groupBy("series_id").agg(
         F.count("*").alias("n_rows"), F.sum("is_energy_outlier").alias("outliers"))
 
 
@@ -140,7 +140,7 @@ SELECT raw.*, expected_hourly_records - records_after_dedup AS missing_hourly_re
        lower_bound AS outlier_lower_bound, upper_bound AS outlier_upper_bound
 FROM raw JOIN gridn USING (series_id) JOIN cleann USING (series_id) JOIN iqr USING (series_id)""")
 def _(t: Tables) -> DataFrame:
-    return q.preprocess_report(t.hourly(), scale=2)
+    return q.preprocess_report(t.hourly(), scale=9)
 
 
 @query("q11_validate_uploads", needs="readings", sql=VALIDATE_SQL + "SELECT * EXCLUDE (user_id) FROM report")
@@ -240,4 +240,4 @@ SELECT s.upload_id AS series_id, s.ts, coalesce(h.energy_kwh, 0.0) AS energy_kwh
   SELECT upload_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM h GROUP BY 1) s
 LEFT JOIN h ON h.upload_id = s.upload_id AND h.ts = s.ts""")
 def _(t: Tables) -> DataFrame:
-    return user_hourly(upload_rows(t), scale=2)
+    return user_hourly(upload_rows(t), scale=9)

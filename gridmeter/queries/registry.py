@@ -37,16 +37,16 @@ class Tables:
         )
 
     def hourly(self, series: str = "event_type") -> DataFrame:
-        return hourly_rollup(self.readings(series), ["energy_kwh", "k"], ["k"], scale=2)
+        return hourly_rollup(self.readings(series), ["energy_kwh", "k"], ["k"], scale=9)
 
     def grid(self, series: str = "event_type") -> DataFrame:
         return complete_index(cut_lineage(self.hourly(series)))
 
     def clean(self, series: str = "event_type") -> DataFrame:
-        return cut_lineage(clean_hourly(self.hourly(series), scale=2))
+        return cut_lineage(clean_hourly(self.hourly(series), scale=9))
 
     def zero_filled(self, series: str = "user_id") -> DataFrame:
-        return hourly_zero_filled(self.readings(series), scale=2)
+        return hourly_zero_filled(self.readings(series), scale=9)
 
     def features(self) -> DataFrame:
         return cut_lineage(drop_incomplete(basic_features(self.clean())))
@@ -100,7 +100,7 @@ class Tables:
             F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("series_id"), "ts",
             F.col("value").alias("energy_kwh"),
         )
-        return hourly_zero_filled(rows, scale=2).withColumnRenamed("series_id", "id")
+        return hourly_zero_filled(rows, scale=9).withColumnRenamed("series_id", "id")
 
 
 # Named building blocks of the SQL counterparts, each with the blocks it needs.
@@ -187,10 +187,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         JOIN catalog c ON c.user_id = h.user_id AND h.ts BETWEEN date_trunc('hour', c.start_timestamp)
              AND date_trunc('hour', c.end_timestamp)
         GROUP BY h.user_id, h.ts, h.total"""),
-    "totals": (("merged",), """
+    "zero_months": (("merged", "listed"), """
+        SELECT user_id, month || '-01' AS day, 0.0 AS energy_kwh FROM listed
+        UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d'), energy_kwh FROM merged"""),
+    "totals": (("zero_months",), """
         SELECT user_id, period, consumption_kwh, consumption_kwh * 7.0 AS cost FROM (
-          SELECT user_id, strftime(ts, '%Y-%m') AS period, sum(energy_kwh) AS consumption_kwh FROM merged GROUP BY 1, 2
-          UNION ALL SELECT user_id, strftime(ts, '%Y'), sum(energy_kwh) FROM merged GROUP BY 1, 2)"""),
+          SELECT user_id, substr(day, 1, 7) AS period, sum(energy_kwh) AS consumption_kwh FROM zero_months GROUP BY 1, 2
+          UNION ALL SELECT user_id, substr(day, 1, 4), sum(energy_kwh) FROM zero_months GROUP BY 1, 2)"""),
     "latest": (("catalog",), """
         SELECT user_id, strftime(max(end_timestamp), '%Y-%m') AS latest_period FROM catalog GROUP BY 1"""),
     "ecatalog": ((), """

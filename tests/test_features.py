@@ -118,3 +118,10 @@ def test_moving_averages(spark):
     partial = [r.avg7 for r in f.ma7_partial(daily).orderBy("date").collect()]
     assert strict == [None] * 6 + [4.0, 5.0]
     assert partial[:3] == [1.0, 1.5, 2.0] and partial[7] == 5.0
+
+
+def test_exponential_mean_after_a_silence_of_years(spark, hours):
+    values = [1.0, None, 5.0] + [None] * 30_000 + [9.0, None, 2.0, 4.0]
+    got = [r.ewm_5000 for r in f.with_ewm(hours({"s": values}), [5000]).orderBy("ts").collect()]
+    want = pd.Series(values, dtype="float64").ewm(span=5000, adjust=False).mean().shift(1)
+    assert np.allclose(np.array(got, dtype="float64"), want.to_numpy(), rtol=1e-9, equal_nan=True)

@@ -91,3 +91,18 @@ def test_one_bill_per_month(spark):
     accepted, rejected = h.new_bills(incoming, bills)
     assert sorted(map(tuple, accepted.collect())) == [(1, "June 2024"), (2, "May 2024")]
     assert list(map(tuple, rejected.collect())) == [(1, "May 2024")]
+
+
+def test_covered_months_without_readings_are_zero(spark):
+    import datetime as dt
+
+    stamp = dt.datetime
+    catalog = spark.createDataFrame(
+        [("u-1", "u", stamp(2024, 1, 31, 5), stamp(2024, 4, 1, 7))], "id string, user_id string, start_timestamp timestamp, end_timestamp timestamp")
+    merged = spark.createDataFrame([("u", stamp(2024, 1, 31, 5), 2.0), ("u", stamp(2024, 4, 1, 7), 3.0)], "user_id string, ts timestamp, energy_kwh double")
+    totals = h.period_totals(merged, catalog)
+    assert {r.period: r.consumption_kwh for r in totals.collect()} == {"2024-01": 2.0, "2024-02": 0.0, "2024-03": 0.0, "2024-04": 3.0, "2024": 5.0}
+    april = h.period_comparison(totals).filter("period = '2024-04'").first()
+    assert (april.previous_period, april.cost_difference, april.cost_change_percent) == ("2024-03", 21.0, 0.0)
+    costs = h.cost_analytics(totals, catalog).first()
+    assert (costs.lowest_cost, costs.lowest_cost_month, costs.months_analyzed) == (0.0, "2024-03", 4)
