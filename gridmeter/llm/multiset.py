@@ -41,24 +41,27 @@ def hashed(text: Column, which: int) -> Column:
 def vectors(rows: DataFrame, keys: list[str], texts: list[Column]) -> DataFrame:
     """The columns `keys`, which tell rows apart, with v0, v1, ...: the fingerprint of each text as an array.
 
-    A fingerprint is the number of pieces, then 128 lanes. Pieces are summed in the tasks that cut them, so one row for each
-    text is shuffled. Bits k and k + 32 of a hash are added as the halves of one long: a lane has 31 bits before it is
+    A fingerprint is the number of pieces, then 128 lanes. Pieces are summed in the tasks that cut them, so one row of
+    sums is shuffled for each document. Bits k and k + 32 of a hash are added as the halves of one long: a lane has 31 bits before it is
     reduced, more than a text can have pieces.
     """
     found = rows.select(*keys, F.concat(*[hashed(t, i) for i, t in enumerate(texts)]).alias("found"))
-    found = found.select(*keys, F.explode_outer("found").alias("piece")).select(*keys, F.coalesce("piece.w", F.lit(0)).alias("w"), *[f"piece.{s}" for s in SALTS])
-    sums = [
-        F.coalesce(F.sum(F.shiftrightunsigned(s, k).bitwiseAND(F.lit(_PAIR))), F.lit(0).cast("long")).alias(f"_{s}{k}")
-        for s in SALTS for k in range(32)
-    ]
-    added = found.groupBy(*keys, "w").agg(F.count(SALTS[0]).alias("n"), *sums)
-    lanes = [F.col("n").cast("int")]
-    for s in SALTS:
-        lanes += [F.col(f"_{s}{k}").bitwiseAND(F.lit(MODULUS - 1)).cast("int") for k in range(32)]
-        lanes += [F.shiftrightunsigned(f"_{s}{k}", 32).bitwiseAND(F.lit(MODULUS - 1)).cast("int") for k in range(32)]
-    added = added.select(*keys, "w", F.array(*lanes).alias("v"))
-    zero = F.array_repeat(F.lit(0), LANES + 1)
-    return added.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("w") == i, F.col("v"))), zero).alias(f"v{i}") for i in range(len(texts))])
+    found = found.select(*keys, F.explode_outer("found").alias("piece")).select(*keys, "piece.w", *[f"piece.{s}" for s in SALTS])
+    none = F.lit(0).cast("long")
+    sums = [F.count_if(F.col("w") == i).alias(f"_n{i}") for i in range(len(texts))]
+    for i in range(len(texts)):
+        for s in SALTS:
+            own = F.when(F.col("w") == i, F.col(s)).otherwise(none)
+            sums += [F.sum(F.shiftrightunsigned(own, k).bitwiseAND(F.lit(_PAIR))).alias(f"_{i}{s}{k}") for k in range(32)]
+    added = found.groupBy(*keys).agg(*sums)
+    out = []
+    for i in range(len(texts)):
+        lanes = [F.col(f"_n{i}").cast("int")]
+        for s in SALTS:
+            lanes += [F.col(f"_{i}{s}{k}").bitwiseAND(F.lit(MODULUS - 1)).cast("int") for k in range(32)]
+            lanes += [F.shiftrightunsigned(f"_{i}{s}{k}", 32).bitwiseAND(F.lit(MODULUS - 1)).cast("int") for k in range(32)]
+        out.append(F.array(*lanes).alias(f"v{i}"))
+    return added.select(*keys, *out)
 
 
 def _lane(i: int | Column) -> Column:
@@ -132,14 +135,15 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", text:
     is_top = F.col("_id").eqNullSafe(F.element_at(top, F.col("_range")))
     copies = F.when(is_top, F.array(F.struct(F.col("_range").alias("to"), F.lit(0).alias("late")), F.struct(F.element_at(back, F.col("_range")).alias("to"), F.lit(1).alias("late"))))
     copies = copies.otherwise(F.array(F.struct(F.col("_range").alias("to"), F.lit(0).alias("late"))))
-    rows = rows.withColumn("_copy", F.explode(copies))
-    order = Window.partitionBy("_copy.to").orderBy("_copy.late", F.col("_id").desc_nulls_last(), F.col(text).desc_nulls_last())
+    # Plain columns, so that both windows are seen to share one exchange.
+    rows = rows.withColumn("_copy", F.explode(copies)).withColumns({"_to": F.col("_copy.to"), "_late": F.col("_copy.late")}).drop("_copy")
+    order = Window.partitionBy("_to").orderBy("_late", F.col("_id").desc_nulls_last(), F.col(text).desc_nulls_last())
     own = F.col("_range").cast("long") * _RANGE
     rows = rows.withColumn("_at", F.row_number().over(order))
     # A copy is a first row of its own range; among rows of one id and text it does not matter which one is meant.
-    here = F.when(F.col("_copy.late") == 0, own + F.col("_at")).otherwise(own + 1)
+    here = F.when(F.col("_late") == 0, own + F.col("_at")).otherwise(own + 1)
     rows = rows.withColumn("row", here)
-    rows = rows.withColumn("next", F.lead(F.struct("row", *columns)).over(order)).filter("_copy.late = 0")
+    rows = rows.withColumn("next", F.lead(F.struct("row", *columns)).over(order)).filter("_late = 0")
     return rows.select(*docs.columns, "row", "next")
 
 
