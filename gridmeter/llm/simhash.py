@@ -37,18 +37,26 @@ def bits_set(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x) if hasattr(np, "bitwise_count") else _ONES[x.view(np.uint8)].reshape(*x.shape, 8).sum(axis=-1)
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """SimHash over all shingles of `width` words, A-Z lower-cased; a bit is set if it is in over half of the hashes."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every shingle of `width` words, A-Z lower-cased; of all words where they are fewer, none without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(len(words) - width + 1, 1)
     last = ends[min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), dtype="<u8", count=n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), dtype="<u8", count=n)
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """SimHash over all shingles of `width` words, repeats included; a bit is set if it is in over half of the hashes."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, n, 4096):
         part = hashes[lo : lo + 4096]
@@ -213,6 +221,11 @@ def near_duplicates(docs: DataFrame, width: int, most: int = MAX_BITS, text: str
     size = points.count()
     # About 2 MB of filed keys for each task, whatever the number of fingerprints.
     edges = links(points.select("fp"), most, run, partitions=max(8, size * 84 // 250_000))
+    return name_groups(rows, points, edges)
+
+
+def name_groups(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (doc_id, mark, fp) with the root of their component and its smallest id; points hold the smallest id of each fp."""
     label = components(edges, "a", "b").withColumnRenamed("node", "fp")
     grouped = points.join(label, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -220,9 +233,12 @@ def near_duplicates(docs: DataFrame, width: int, most: int = MAX_BITS, text: str
     return rows.join(named, "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int, most: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component, with all columns of `docs`: the row with the smallest id (of equal ids, the smallest text hash)."""
-    found = near_duplicates(docs, width, most, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def deduplicate(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component in `found` (near_duplicates of the same rows), with all columns of `docs`.
+
+    It is the row with the smallest id (of equal ids, the smallest text hash).
+    """
+    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.groupBy("root").agg(F.min(F.struct("mark", "doc_id")).alias("first"), F.count("*").alias("rows"))
     first = settle(first.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"), "rows"), "simhash-survivors")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_own"), mark_of(F.col(text)).alias("_own_mark"))

@@ -14,7 +14,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from gridmeter.llm import components, golay, langid, lines, mixing, multiset, packing, rangecoder, sharding, simhash, substrings, tokenfiles, tokens, warc
+from gridmeter.llm import components, golay, langid, lines, mixing, multiset, packing, rangecoder, sharding, simhash, similar, substrings, tokenfiles, tokens, warc
 from gridmeter.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,11 +157,60 @@ def test_near_duplicates_of_odd_rows(spark, odd_rows):
         if i is not None:
             least[label[f]] = min(least.get(label[f], i), i)
     assert all(r.component_id == least.get(label[r.fp % (1 << 64)]) for r in found)
-    kept = simhash.deduplicate(docs, 4)
+    kept = simhash.deduplicate(docs, simhash.near_duplicates(docs, 4))
     assert kept.columns == docs.columns and kept.count() == len({label[f] for _, f in want})
     assert simhash.near_duplicates(docs.limit(0), 4).count() == 0
 
 
+def shingle_set(text, width=5):
+    words = WORD.findall(text.lower())
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+@pytest.mark.parametrize("run", [4096, 40])
+def test_similar_texts_share_a_group(spark, run):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        base = prose(rng, rng.randrange(60, 400), 10**5)
+        texts.append(base)
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(rng.randrange(1, max(2, len(base) // 60))):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            texts.append(copy)
+    # A crowd: many copies of one text, each with an edit of its own.
+    base = prose(rng, 300, 10**5)
+    texts += [[*base[:k], f"c{k}", *base[k + 1 :]] for k in range(200)]
+    texts += [prose(rng, 100, 10**5) for _ in range(100)]
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(table(spark, rows), 5, run=run).collect()}
+    sets = {i: shingle_set(t) for i, t, *_ in rows}
+    near = missed = 0
+    for i in sets:
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+                near += 1
+                missed += got[i] != got[j]
+            elif not same:
+                assert got[i] != got[j]
+    assert near > 10_000 and missed <= near / 100
+    assert {got[i] for i in range(120, 320)} == {120} and all(got[i] == i for i in range(320, 420))
+
+
+def test_similar_texts_of_odd_rows(spark, odd_rows):
+    docs = table(spark, odd_rows)
+    found = similar.near_duplicates(docs, 5).collect()
+    assert key(r.doc_id for r in found) == key(i for i, *_ in odd_rows)
+    group = {r.doc_id: r.component_id for r in found}
+    assert {group[i] for i in [*range(100, 112), *range(200, 212)]} == {100}
+    assert {group[i] for i in (400, 401, 402)} == {400} and group[None] is None and group[405] == 405
+    kept = simhash.deduplicate(docs, similar.near_duplicates(docs, 5))
+    assert kept.columns == docs.columns and kept.count() == len(set(group.values()))
+    assert similar.near_duplicates(docs.limit(0), 5).count() == 0
+
+
 # 3 lines
 
 
