@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmeter.llm import langid, mixing, packing, simhash, substrings, tokens
+from gridmeter.llm import langid, mixing, packing, simhash, similar, substrings, tokens
 from gridmeter.llm.common import prepare_texts, settle
 
 #: SQL cannot express the stages (trained centroids, fingerprints, sampling by raked weights, token ids).
@@ -22,9 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: texts whose shingles are similar to 0.8 or more."""
     prepare_texts(spark)
-    return simhash.deduplicate(docs, SHINGLE)
+    return simhash.deduplicate(docs, similar.near_duplicates(docs, SHINGLE))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
