@@ -30,6 +30,8 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Largest number of fingerprints under one key that are compared with each other.
 RUN = 4096
+#: Places over which the points of one component are spread.
+SALTS = 64
 _ONES = np.array([bin(i).count("1") for i in range(1 << 8)], dtype=np.uint8)
 
 
@@ -227,9 +229,12 @@ def near_duplicates(docs: DataFrame, width: int, most: int = MAX_BITS, text: str
 def name_groups(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (doc_id, mark, fp) with the root of their component and its smallest id; points hold the smallest id of each fp."""
     label = components(edges, "a", "b").withColumnRenamed("node", "fp")
-    grouped = points.join(label, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "root").select("fp", "root", "component_id")
+    grouped = points.join(label, "fp", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
+    # A component may hold a third of all points, so they meet its smallest id in SALTS places (never broadcast: Spark would size it before it is multiplied).
+    smallest = grouped.filter("linked").groupBy("root").agg(F.min("least").alias("smallest"))
+    smallest = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = grouped.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).join(smallest.hint("merge"), ["root", "salt"], "left")
+    named = named.select("fp", "root", F.when(F.col("linked"), F.col("smallest")).otherwise(F.col("least")).alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
