@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gridmeter.llm import golay, simhash
 from gridmeter.llm.common import settle
 
-#: 64-bit words of a fingerprint, and the most bits that similar texts differ in: sqrt-normal spread above the 36 of 0.8.
+#: 64-bit words of a fingerprint, and the most bits that similar texts differ in: 36 at a similarity of 0.8, and the spread around it.
 WORDS, MOST_BITS = 4, 44
 #: Bits of a segment that must agree beside its Golay word, and multipliers of the orders in which bits are laid out.
 EXACT, ORDERS = 7, (1, 73)
