@@ -199,6 +199,21 @@ def test_similar_texts_share_a_group(spark, run):
     assert {got[i] for i in range(120, 320)} == {120} and all(got[i] == i for i in range(320, 420))
 
 
+def test_crowded_keys_link_every_pair(spark):
+    # Chains whose neighbours are within the limit and all others beyond it; they agree in the first segment, so one key holds them all.
+    rng = np.random.default_rng(5)
+    free = np.setdiff1d(np.arange(256), similar.segments()[0])
+    bits = [rng.integers(0, 2, 256).astype(np.uint8)]
+    for _ in range(199):
+        bits.append(bits[-1].copy())
+        bits[-1][rng.choice(free, similar.MOST_BITS, replace=False)] ^= 1
+    words = np.packbits(np.array(bits), axis=1, bitorder="little").view("<u8")
+    points = spark.createDataFrame(words.view(np.int64).tolist(), ", ".join(f"{c} long" for c in similar.COLUMNS))
+    whole, cut = (similar.links(points, run=run, partitions=4) for run in (4096, 4))
+    groups = [{r.node: r.root for r in components.components(edges, "a", "b").collect()} for edges in (whole, cut)]
+    assert groups[0] == groups[1] and len(groups[0]) == 200 and len(set(groups[0].values())) == 1
+
+
 def test_similar_texts_of_odd_rows(spark, odd_rows):
     docs = table(spark, odd_rows)
     found = similar.near_duplicates(docs, 5).collect()
