@@ -199,6 +199,28 @@ def test_similar_texts_share_a_group(spark, run):
     assert {got[i] for i in range(120, 320)} == {120} and all(got[i] == i for i in range(320, 420))
 
 
+@pytest.mark.parametrize("run", [4096, 16])
+def test_texts_are_linked_at_a_similarity_of_four_fifths_exactly(spark, run):
+    # Texts that share their first words with a common text, at similarities from 0.6 to 0.95: groups are those of the exact similarities.
+    rng = random.Random(21)
+    texts = []
+    for _ in range(30):
+        base = prose(rng, 204, 10**6)
+        texts += [base, *([*base[:n], *prose(rng, 204 - n, 10**6)] for n in (rng.randrange(150, 202) for _ in range(4)))]
+    crowd = prose(rng, 204, 10**6)
+    texts += [[*crowd[:n], *prose(rng, 204 - n, 10**6)] for n in (rng.randrange(172, 200) for _ in range(120))]
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(table(spark, rows), 5, run=run).collect()}
+    sets, want = [shingle_set(t) for _, t, *_ in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if 5 * same >= 4 * (len(sets[i]) + len(sets[j]) - same) and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if x == old else x for x in want]
+    assert len(set(want)) > 60 and got == dict(enumerate(want))
+
+
 def test_crowded_keys_link_every_pair(spark):
     # Chains whose neighbours are within the limit and all others beyond it; they agree in the first segment, so one key holds them all.
     rng = np.random.default_rng(5)
