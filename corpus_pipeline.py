@@ -37,9 +37,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics have their target shares of tokens."""
+    """Documents drawn, or repeated, so that sources, languages and topics have their target shares of as many tokens as there are."""
     prepare_texts(spark)
-    return mixing.sample(docs, mixing.document_dims(), mixing.document_tokens()).filter("kept").select("row.*")
+    drawn = mixing.sample(docs, mixing.document_dims(), mixing.document_tokens()).filter("kept")
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

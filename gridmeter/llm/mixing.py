@@ -1,12 +1,13 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then sampling.
 
 Documents fall into cells by source, language and topic. Token weights of cells are raked: in turn each dimension's sums are
-scaled to its target shares, until all of them agree. A document is then kept with a probability in proportion to its cell's
-weight, the largest being 1, so the expected tokens of every source, language and topic are in the target proportions.
+scaled to its target shares, until all of them agree. Weights are 1 in the mean of the tokens, so a document is expected
+weight * `SHARE` times: the whole part of that is given as copies, the rest drawn. So the expected tokens of every source,
+language and topic are in the target proportions, and all together are SHARE of the table's, whatever its rarest cell.
 
 Nulls are a value of their own in each dimension. A value without a target keeps no share; a target without tokens is left
 out and the others share its part. Documents without tokens follow their cell, and a cell without any tokens is kept as it
-is. The draw depends on id and seed alone, so repeated rows share one fate, as do repeated runs. An empty table stays empty.
+is, once. The draw depends on id and seed alone, so repeated rows share one fate, as do repeated runs. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from gridmeter.llm.common import cut_lineage, settle, words_of
 NONE = "\x00"
 #: Targets are shares raised to this power: small sources get more than their share, large ones less.
 ALPHA = 0.7
+#: Expected tokens of the sample, as a share of those of the table.
+SHARE = 1.0
 TOLERANCE, ROUNDS = 1e-6, 50
 #: Cell tables up to this size (24 MB) are raked by numpy on the driver, larger ones by joins; the results are the same.
 LOCAL_CELLS = 1_000_000
@@ -104,19 +107,24 @@ def rake(
     return cells
 
 
-def sample(docs: DataFrame, dims: dict[str, Column], tokens: Column, doc_id: str = "doc_id", targets: dict[str, DataFrame] | None = None, seed: int = 13) -> DataFrame:
-    """Rows of `docs` as a struct `row`, with tokens, the dimensions, weight, probability and whether the draw keeps them."""
+def sample(
+    docs: DataFrame, dims: dict[str, Column], tokens: Column, doc_id: str = "doc_id", targets: dict[str, DataFrame] | None = None, seed: int = 13,
+    share: float = SHARE,
+) -> DataFrame:
+    """Rows of `docs` as a struct `row`, with tokens, the dimensions, weight, probability of being kept, whether the draw keeps them and how often."""
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("_id"), tokens.cast("long").alias("tokens"),
         *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(d) for d, c in dims.items()],
     )
     cells = settle(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     weights = rake(cells, targets or {d: smoothed(cells, d) for d in dims})
-    most = weights.filter("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
-    chance = F.when(F.col("cell_tokens") > 0, F.least(F.col("weight") / F.lit(most), F.lit(1.0))).otherwise(F.lit(1.0))
-    weights = weights.withColumnRenamed("tokens", "cell_tokens").withColumn("probability", chance).drop("cell_tokens")
+    times = F.when(F.col("cell_tokens") > 0, F.col("weight") * F.lit(share)).otherwise(F.lit(1.0))
+    weights = weights.withColumnRenamed("tokens", "cell_tokens").withColumn("_times", times).drop("cell_tokens")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_id")), 11).cast("double") / float(1 << 53)
-    return rows.join(weights, list(dims)).select("row", "tokens", *dims, "weight", "probability", (draw < F.col("probability")).alias("kept"))
+    whole = F.floor("_times")
+    copies = (whole + F.when(draw < F.col("_times") - whole, 1).otherwise(0)).cast("int")
+    found = rows.join(weights, list(dims)).withColumns({"probability": F.least(F.col("_times"), F.lit(1.0)), "copies": copies})
+    return found.select("row", "tokens", *dims, "weight", "probability", (F.col("copies") > 0).alias("kept"), "copies")
 
 
 def document_dims() -> dict[str, Column]:

@@ -123,7 +123,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_raked_mixing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    """Calibrated probability of every document, and whether it is drawn."""
+    """Calibrated probability of every document, whether it is drawn and how often."""
     found = mixing.sample(documents(spark, folder), mixing.document_dims(), mixing.document_tokens())
-    out = found.select("row.doc_id", "by_source", "by_lang", "by_topic", "tokens", "weight", "probability", "kept")
+    out = found.select("row.doc_id", "by_source", "by_lang", "by_topic", "tokens", "weight", "probability", "kept", "copies")
     return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})

@@ -365,6 +365,19 @@ def test_raking_meets_targets(spark, odd_rows):
     assert mixing.sample(docs.limit(0), mixing.document_dims(), mixing.document_tokens()).count() == 0
 
 
+def test_a_rare_source_does_not_set_how_much_is_kept(spark):
+    # One document of a source of its own among 3,000: its weight is about 11, and the sample is as large as the table.
+    text = " ".join(["word"] * 50)
+    docs = table(spark, [(i, text, "en", "rare" if i == 0 else "ab"[i % 2]) for i in range(3000)])
+    drawn = mixing.sample(docs, {"by_source": F.col("source")}, mixing.document_tokens()).collect()
+    tokens = sum(r.tokens * r.copies for r in drawn)
+    assert abs(tokens / (3000 * 50) - 1) < 0.03 and sum(r.kept for r in drawn) > 2900
+    rare = next(r for r in drawn if r.row.doc_id == 0)
+    assert rare.weight > 5 and abs(rare.copies - rare.weight) < 1 and all(r.kept == (r.copies > 0) for r in drawn)
+    half = mixing.sample(docs, {"by_source": F.col("source")}, mixing.document_tokens(), share=0.5).collect()
+    assert abs(sum(r.tokens * r.copies for r in half) / (3000 * 50) - 0.5) < 0.03
+
+
 # 8 packing
 
 
