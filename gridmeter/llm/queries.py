@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmeter.llm import langid, lines, mixing, multiset, packing, sharding, simhash, substrings, tokenfiles, tokens, warc
+from gridmeter.llm import (
+    drift, langid, lexical, lines, mixing, multiset, packing, sharding, simhash, sql, substrings, tensored, tokenfiles, tokens, warc,
+)
 from gridmeter.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +129,23 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.sample(documents(spark, folder), mixing.document_dims(), mixing.document_tokens())
     out = found.select("row.doc_id", "by_source", "by_lang", "by_topic", "tokens", "weight", "probability", "kept", "copies")
     return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+@query("op11_drift_tightening", sql.clustering())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster and squared distance of every vector, after ten rounds from eight drawn centroids."""
+    found, centroids = drift.cluster(table(spark, folder, "embeddings"))
+    return drift.with_inertia(found, centroids)
+
+
+@query("op12_tensored_minhash", sql.TENSORED)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every document's set of shingles, and its component of sets similar to 0.85 or more."""
+    found = tensored.near_duplicates(documents(spark, folder))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("op13_automaton_search", sql.LEXICAL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.rank(documents(spark, folder), table(spark, folder, "benchmark"))

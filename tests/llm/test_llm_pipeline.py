@@ -37,7 +37,7 @@ def test_stages_on_an_empty_table(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     want = db.execute(ORACLE[name])
     columns = [c[0] for c in want.description]
