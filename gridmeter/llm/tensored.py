@@ -8,8 +8,8 @@ probability (1 - (1 - s^3)^10)^2: 0.99985 at 0.85 and 0.99999 at 0.9, while sets
 Texts of one set are one point. Points that meet nobody under any key are done. The others are compared in three rounds of tables
 (one, those of equal numbers, the rest), each point carrying the label of what it was linked with before: keys all of whose points
 have one label are done, and keys that hold the same points are compared once. Points of a key are compared set by set in one
-task up to `BLOCK`; more are dealt into blocks that share a few pivots, and then all that is not in the key's commonest label
-meets every block. So all points that meet under a key are compared or already linked, no pair is written, and a key that
+task up to `BLOCK`. Where more than a block of points are not of the key's commonest label, blocks that share a few pivots are
+compared first, to have fewer labels; then all that is not in the commonest label meets every block. So all points that meet under a key are compared or already linked, no pair is written, and a key that
 holds a third of all points is the work of many tasks. Links are confirmed by intersection and union of the sets.
 
 Null texts and texts without a word have an empty set and are linked with nothing, each its own component. Fewer words than a
@@ -121,26 +121,22 @@ class Sets:
 
 
 def connect(label: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """(n, 2) indices of similar sets that connect what similar pairs and equal labels connect; at most one less than there are labels."""
-    sets, edges, left = Sets(flat, size), [], np.ones(len(size), dtype=bool)
-    smallest, largest = size.min(), size.max()
-    if SIMILAR[1] * smallest < SIMILAR[0] * largest and len(size) == 2:
-        return np.zeros((0, 2), np.int64)
-    members: dict[int, list[int]] = {}
-    for i, x in enumerate(label.tolist()):
-        members.setdefault(x, []).append(i)
-    while left.any():
-        start = int(np.argmax(left))
-        queue = list(members[int(label[start])])
-        left[queue] = False
-        while queue and left.any():
-            x = queue.pop()
-            for y in np.flatnonzero(left & sets.alike(x)).tolist():
-                if left[y]:
-                    edges.append((x, y))
-                    joined = members[int(label[y])]
-                    left[joined] = False
-                    queue += joined
+    """(n, 2) indices of similar sets that connect what similar pairs and equal labels connect; at most one less than there are labels.
+
+    Of any two labels one is not the commonest; so it is enough to hold the points beside that one against all others, those
+    of rare labels first. Points that all others are connected with already need no look.
+    """
+    _, root, members = np.unique(label, return_inverse=True, return_counts=True)
+    sets, edges = Sets(flat, size), []
+    order = np.argsort(members[root], kind="stable")
+    for x in order[: len(label) - members.max()].tolist():
+        other = root != root[x]
+        if not other.any():
+            break
+        for y in np.flatnonzero(other & sets.alike(x)).tolist():
+            if root[y] != root[x]:
+                edges.append((x, y))
+                root[root == root[y]] = root[x]
     return np.array(edges, dtype=np.int64).reshape(-1, 2)
 
 
@@ -197,52 +193,56 @@ def relabelled(points: DataFrame, edges: DataFrame) -> DataFrame:
     return settle(moved.select("fp", F.coalesce("root", "label").alias("label"), "size"), "tensored-labels")
 
 
-def one_round(met: DataFrame, labels: DataFrame, sets: DataFrame, compared: list[DataFrame], block: int) -> DataFrame:
-    """`labels` after all points that meet under the keys of `met` (key, fp) have been compared.
+def several_labels(met: DataFrame, labels: DataFrame, compared: list[DataFrame], block: int) -> DataFrame:
+    """Keys whose points have different labels: (key, x, y, n, others, first, parts, chunks).
 
-    `compared` holds what tells the points of the keys of earlier rounds, and gets that of this one."""
-    rows = met.join(labels, "fp")
-    # Keys that hold the same points are one; keys whose points have one label are done.
-    one = rows.groupBy("key").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum("size").alias("shingles"),
-        F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "fp")).alias("y"),
-    ).filter("least < most").groupBy("x", "y").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("shingles").alias("shingles"))
+    Keys that hold the same points, as x and y tell, are one, and those that an earlier round has compared are left out.
+    `first` is the commonest label and `others` the points that have another one.
+    """
+    per = met.join(labels, "fp").groupBy("key", "label").agg(
+        F.count("*").alias("times"), F.sum("size").alias("shingles"),
+        F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "fp")).alias("y"))
+    one = per.groupBy("key").agg(
+        F.max(F.struct("times", "label")).alias("most"), F.sum("times").alias("n"), F.sum("shingles").alias("shingles"),
+        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("n > most.times")
+    one = one.groupBy("x", "y").agg(F.min(F.struct("key", "n", "shingles", "most")).alias("k")).select("x", "y", "k.*")
     for before in compared:
         one = one.join(before, ["x", "y"], "left_anti")
     parts = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    keys = settle(one.select("x", "y", "key", "n", parts.alias("parts")), "tensored-keys")
+    others = F.col("n") - F.col("most.times")
+    chunks = F.ceil(others * parts / F.col("n")).cast("long")
+    return settle(one.select("x", "y", "key", "n", others.alias("others"), F.col("most.label").alias("first"), parts.alias("parts"), chunks.alias("chunks")), "tensored-keys")
+
+
+def one_round(met: DataFrame, labels: DataFrame, sets: DataFrame, compared: list[DataFrame], block: int) -> DataFrame:
+    """`labels` after all points that meet under the keys of `met` (key, fp) have been compared.
+
+    `compared` holds what tells the points of the keys of earlier rounds, and gets that of this one."""
+    earlier = list(compared)
+    keys = several_labels(met, labels, earlier, block)
     compared.append(keys.select("x", "y"))
-    keys = keys.select("key", "n", "parts")
-    told = keys.agg(F.sum("n"), F.max("parts")).first()
-    if not told[0]:
-        return labels
-    partitions = max(8, told[0] // 2000)
-    placed = rows.select("key", "fp", "label").join(keys, "key").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
     numbers = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.lit(1), "key", "fp"), F.ceil(F.col("n") / PIVOTS).cast("long")) == 0)
-    # A pivot goes to every block of its key, all others to their own.
-    spread = placed.withColumn("part", F.explode(F.when(pivot, numbers).otherwise(F.array("part"))))
-    edges = settle(compare(spread.join(sets, "fp"), ["key", "part"], partitions), "tensored-links")
-    after = relabelled(labels, edges)
-    if told[1] == 1:
-        return after
-    # What a large key holds beside its commonest label meets every block of it, in chunks as large as blocks.
-    large = keys.filter("parts > 1")
-    rows = met.join(large, "key").join(after, "fp")
-    often = rows.groupBy("key", "label").agg(F.count("*").alias("times")).groupBy("key").agg(
-        F.max(F.struct("times", "label")).alias("first"), F.sum("times").alias("all"))
-    often = often.select("key", F.col("first.label").alias("first"), (F.col("all") - F.col("first.times")).alias("others")).filter("others > 0")
-    often = settle(often, "tensored-others")
-    if often.isEmpty():
-        return after
-    rows = rows.join(often, "key").withColumn("chunks", F.ceil(F.col("others") * F.col("parts") / F.col("n")).cast("long"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
-    late = rows.filter("label <> first").withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "fp"), "chunks"))
+    # Keys with more than a block of points beside the commonest label: blocks that share a few pivots, to have fewer labels.
+    crowded = keys.filter("chunks > 1").select("key", "n", "parts")
+    size = crowded.agg(F.sum("n")).first()[0]
+    if size:
+        rows = met.join(crowded, "key").join(labels, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
+        pivot = F.pmod(F.xxhash64(F.lit(1), "key", "fp"), F.ceil(F.col("n") / PIVOTS).cast("long")) == 0
+        spread = rows.withColumn("part", F.explode(F.when(pivot, numbers).otherwise(F.array("part"))))
+        edges = compare(spread.join(sets, "fp"), ["key", "part"], max(8, size // 2000))
+        labels = relabelled(labels, settle(edges, "tensored-first-links"))
+        keys = several_labels(met, labels, earlier, block)
+    size = keys.agg(F.sum("n")).first()[0]
+    if not size:
+        return labels
+    # What a key holds beside its commonest label meets every block of it, in chunks as large as blocks.
+    rows = met.join(keys.drop("x", "y", "n", "others"), "key").join(labels, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
+    late = rows.filter("parts > 1 AND label <> first").withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "fp"), "chunks"))
     late = late.withColumn("own", F.col("part")).withColumn("part", F.explode(numbers)).filter("part <> own")
     there = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     names = ["key", "part", "chunk", "fp", "label"]
-    every = late.select(*names).union(there.select(*names)).join(sets, "fp")
-    return relabelled(after, settle(compare(every, ["key", "part", "chunk"], partitions), "tensored-late-links"))
+    every = (late.select(*names).union(there.select(*names)) if not keys.filter("parts > 1").isEmpty() else there.select(*names)).join(sets, "fp")
+    return relabelled(labels, settle(compare(every, ["key", "part", "chunk"], max(8, size // 2000)), "tensored-links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
