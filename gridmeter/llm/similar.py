@@ -8,7 +8,7 @@ are linked where the Jaccard similarity of their sets of shingle hashes is 0.8 o
 
 Null and blank texts have an empty set and form one group. Texts of fewer words than a shingle are one shingle. Repeated
 shingles count once. Texts with one set are one point, so copies cost nothing. The smallest doc_id names a group; null ids
-are passed over. Extra columns are left out.
+are passed over. An empty table gives an empty one, and very long texts count whole. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ BLOCK, BLOCK_SHINGLES, PIVOTS = 1024, 2_000_000, 8
 EXACT, ORDERS = 7, (1, 73)
 #: A quarter of the rows that are read before whole keys are compared; it bounds no key.
 RUN = 4096
-#: Up to this size, a run is compared as one matrix.
-MATRIX = 512
+#: Rounds of segments; points carry what earlier rounds have connected them with.
+ROUNDS = ((0, 1), (1, 4), (4, 16))
 COLUMNS = [f"w{i}" for i in range(WORDS)]
 
 
@@ -104,11 +104,11 @@ def segments() -> list[np.ndarray]:
     return [np.arange(at, at + size) * step % bits for step in ORDERS for at in range(0, bits - size + 1, size)]
 
 
-def segment_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all segments, and the index of the fingerprint that each belongs to."""
+def segment_keys(words: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all segments from `first` up to `last`, and the index of the fingerprint that each belongs to."""
     bits = np.unpackbits(words.view(np.uint8).reshape(len(words), 8 * WORDS), axis=1, bitorder="little").astype(np.int64)
     weights, out, index = 1 << np.arange(golay.BITS), [], []
-    for number, places in enumerate(segments()):
+    for number, places in list(enumerate(segments()))[first:last]:
         code = golay.keys(bits[:, places[: golay.BITS]] @ weights)
         exact = bits[:, places[golay.BITS :]] @ weights[:EXACT]
         valid = code >= 0
@@ -117,44 +117,52 @@ def segment_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(index)
 
 
-def _file_under_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-        key, index = segment_keys(words.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *words[index].T)], ["key", *COLUMNS])
+        words = np.stack([c.to_numpy() for c in batch.columns], axis=1).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of(words))], [*COLUMNS, "node"])
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return simhash.bits_set(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def spanning(words: np.ndarray, most: int) -> np.ndarray:
-    """(n, 2) indices that connect what is reachable among these fingerprints, one less than members for each component."""
-    left, edges = np.arange(len(words)), [np.zeros((0, 2), np.int64)]
-    while len(left):
-        root, queue, left = left[0], [left[0]], left[1:]
+def link_run(label: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+    """(n, 2) labels that connect what is reachable in one run by differing bits or by a common label: from each smallest label to the others.
+
+    What is reached is not compared again, so the work is near linear where rows are alike. Rare labels come first, and what
+    is left when only one label remains needs no look.
+    """
+    names, group, members = np.unique(label, return_inverse=True, return_counts=True)
+    edges = [np.zeros((0, 2), np.int64)]
+    order = np.argsort(group, kind="stable")
+    begin = np.cumsum(members) - members
+    left, alive = np.arange(len(label)), np.ones(len(names), dtype=bool)
+    for start in np.argsort(members, kind="stable").tolist():
+        if not alive[start]:
+            continue
+        alive[start] = False
+        left = left[alive[group[left]]]
+        queue, reached = order[begin[start] : begin[start] + members[start]].tolist(), [start]
         while queue and len(left):
             near = differing(words[left], words[queue.pop()]) <= most
             if near.any():
-                found = left[near]
-                edges.append(np.stack([np.full(len(found), root), found], axis=1))
-                queue += found.tolist()
-                left = left[~near]
+                found = np.unique(group[left[near]])
+                alive[found] = False
+                left = left[alive[group[left]]]
+                reached += found.tolist()
+                for i in found.tolist():
+                    queue += order[begin[i] : begin[i] + members[i]].tolist()
+        if len(reached) > 1:
+            told = np.sort(names[reached])
+            edges.append(np.stack([np.full(len(told) - 1, told[0]), told[1:]], axis=1))
+        if not len(left):
+            break
     return np.concatenate(edges)
 
 
-def link_run(words: np.ndarray, most: int) -> np.ndarray:
-    """(n, 2) indices that connect one run: few hits as they are, many as a spanning forest."""
-    if len(words) <= MATRIX:
-        bits = sum(simhash.bits_set(words[:, None, i] ^ words[None, :, i]).astype(np.int16) for i in range(words.shape[1]))
-        pairs = np.argwhere(np.triu(bits <= most, 1))
-        if len(pairs) <= 2 * len(words):
-            return pairs
-    return spanning(words, most)
-
-
-def link_runs(key: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
-    """(n, 2) row numbers that connect fingerprints of one key, for rows sorted by key."""
+def link_runs(key: np.ndarray, label: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+    """(n, 2) labels that connect fingerprints of one key, for rows sorted by key."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((start, [len(key)])))
     small, found = np.repeat(size <= 8, size), [np.zeros((0, 2), np.int64)]
@@ -162,27 +170,50 @@ def link_runs(key: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
         at = np.flatnonzero((key[:-lag] == key[lag:]) & small[:-lag])
         if not len(at):
             break
+        at = at[label[at] != label[at + lag]]
         at = at[differing(words[at], words[at + lag]) <= most]
-        found.append(np.stack([at, at + lag], axis=1))
-    return np.concatenate(found + [start[at] + link_run(words[start[at] : start[at] + size[at]], most) for at in np.flatnonzero(size > 8)])
+        found.append(np.stack([label[at], label[at + lag]], axis=1))
+    return np.concatenate(found + [link_run(label[start[at] : start[at] + size[at]], words[start[at] : start[at] + size[at]], most) for at in np.flatnonzero(size > 8)])
 
 
 def links(points: DataFrame, most: int = MOST_BITS, run: int | None = None, partitions: int | None = None) -> DataFrame:
     """Edges (a, b), by node, that connect the fingerprints of `points` (columns w0..) whose keys meet and which differ in `most` bits or fewer.
 
-    Rows are read `run` by `run`, but all rows of one key are connected as a whole, however many: a spanning forest leaves
-    out only pairs that it connects anyway. A row takes 40 bytes. Work is near linear where rows are alike, since rows once
-    reached are not compared again; it grows with the square only of rows under one key that are not alike.
+    Segments come in rounds. A point carries the label of all that earlier rounds have connected it with, and a key tells only
+    links between different labels, from the smallest one: a large group of near copies is told in the first round, by as many
+    edges as it has points times the keys of one segment, and costs the later ones nothing. Rows are read `run` by `run`, but all
+    rows of one key are connected as a whole, however many; a row takes 48 bytes. Work grows with the square only of rows
+    under one key that are not alike.
     """
-    read = 4 * (run or RUN)
-    filed = points.select(*COLUMNS).mapInArrow(_file_under_keys, ", ".join(f"{c} long" for c in ("key", *COLUMNS)))
+    if "node" not in points.columns:
+        points = points.select(*COLUMNS).mapInArrow(_with_nodes, ", ".join(f"{c} long" for c in (*COLUMNS, "node")))
+    labels = settle(points.select("node", F.col("node").alias("label"), *COLUMNS), "similar-labels")
+    for first, last in ROUNDS:
+        share = -(-(partitions or 0) * (last - first) // len(segments()))
+        found = settle(_links_of(labels, first, last, most, 4 * (run or RUN), max(4, share) if partitions else None), "similar-links")
+        moved = components(found, "a", "b").withColumnRenamed("node", "label")
+        labels = labels.join(moved, "label", "left").select("node", F.coalesce("root", "label").alias("label"), *COLUMNS)
+        labels = settle(labels, "similar-labels")
+    return labels.filter("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b"))
+
+
+def _links_of(labels: DataFrame, first: int, last: int, most: int, read: int, partitions: int | None) -> DataFrame:
+    """Edges (a, b) between labels, by the keys of the segments from `first` up to `last`."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column(0).to_numpy()
+            words = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            key, index = segment_keys(words.view(np.uint64), first, last)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, label[index], *words[index].T)], ["key", "label", *COLUMNS])
+
+    filed = labels.select("label", *COLUMNS).mapInArrow(file, ", ".join(f"{c} long" for c in ("key", "label", *COLUMNS)))
     filed = (filed.repartition(partitions, "key") if partitions else filed.repartition("key")).sortWithinPartitions("key", "w0")
 
     def settled(key: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = link_runs(key, words, most)
-        if len(at):
-            pairs = np.sort(np.stack([node_of(words[at[:, 0]]), node_of(words[at[:, 1]])], axis=1), axis=1)
-            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        pairs = link_runs(key, words[:, 0].view(np.int64), words[:, 1:], most)
+        if len(pairs):
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +332,8 @@ def verified(docs: DataFrame, points: DataFrame, candidates: DataFrame, width: i
     label = label.union(several.join(label, "node", "left_anti").select("node", F.col("node").alias("root")))
     members = settle(points.join(label, "node").drop("node"), "similar-members")
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)).cast("long")
-    # At most one row for each `block` points or BLOCK_SHINGLES shingles.
     large = settle(members.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("blocks > 1"), "similar-large")
-    placed = members.drop("size").join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    placed = members.drop("size").join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
     sets = settle(shingle_sets(docs, placed, width, text, doc_id), "similar-sets")
     if sets.count() > members.count():  # rows that repeat id and text
@@ -323,8 +353,7 @@ def verified(docs: DataFrame, points: DataFrame, candidates: DataFrame, width: i
     first = settle(first.select("root", F.col("most.group").alias("first"), (F.col("all") - F.col("most.n")).alias("others")), "similar-others").filter("others > 0")
     if first.isEmpty():
         return edges
-    # At most one row for each large component.
-    chunks = F.broadcast(first.join(large.select("root", "n", "blocks"), "root").select("root", "first", F.ceil(F.col("others") * F.col("blocks") / F.col("n")).cast("long").alias("chunks")))
+    chunks = first.join(large.select("root", "n", "blocks"), "root").select("root", "first", F.ceil(F.col("others") * F.col("blocks") / F.col("n")).cast("long").alias("chunks"))
     big = big.join(group.select("fp", "group"), "fp").join(chunks, "root")
     late = big.filter(F.col("group") != F.col("first")).withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "fp"), "chunks"))
     late = late.withColumn("own", F.col("block")).withColumn("block", F.explode(numbers)).filter("block <> own")

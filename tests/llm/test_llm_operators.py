@@ -502,3 +502,16 @@ def test_archive_faults():
 
 def test_every_operator_has_a_query():
     assert {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(n) for n in range(1, 11)}
+
+
+def test_one_large_group_of_near_copies_emits_few_edges(spark):
+    rng = random.Random(9)
+    base = prose(rng, 250, 10**6)
+    rows = [(i, " ".join([*base[: i % 240], f"e{i}", *base[i % 240 + 1 :]]), "en", "a") for i in range(2000)]
+    points = similar.fingerprints(table(spark, rows), 5).dropDuplicates(["node"]).cache()
+    n = points.count()
+    labels = points.select("node", F.col("node").alias("label"), *similar.COLUMNS)
+    first = similar._links_of(labels, 0, 1, similar.MOST_BITS, 4 * similar.RUN, 4)
+    assert n > 1500 and first.count() <= 6 * n
+    assert similar.links(points, partitions=8).count() == n - 1
+    points.unpersist()
