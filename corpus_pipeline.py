@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmeter.llm import langid, mixing, packing, simhash, similar, substrings, tokens
@@ -37,16 +37,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn, or repeated, so that sources, languages and topics have their target shares of as many tokens as there are."""
+    """Documents drawn, or repeated, so that sources, languages and topics have their target shares of as many tokens as there are.
+
+    A document of weight w is there as often as floor(w), or once more by its draw; its rows are equal, and `packed` tells them apart."""
     prepare_texts(spark)
     drawn = mixing.sample(docs, mixing.document_dims(), mixing.document_tokens()).filter("kept")
     return drawn.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1,024 tokens."""
+    """Pieces of the documents in sequences of 1,024 tokens; `copy` numbers the pieces of a document that the mixture repeats."""
     prepare_texts(spark)
-    return packing.pack(packing.token_pieces(docs, tokens.vocabulary()))
+    pieces = packing.token_pieces(docs, tokens.vocabulary())
+    # No group is larger than a document's weight: the stages before leave a text once.
+    equal = Window.partitionBy("doc_id", "start", "ids_crc32", "doc_tokens").orderBy("length")
+    return packing.pack(pieces.withColumn("copy", F.row_number().over(equal)), order=("doc_id", "start", "copy"))
 
 
 STAGES = [
