@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.functions.calendar import with_cyclical, with_feature_calendar
 from gridmeter.functions.scalars import flat_cost, from_log, to_log
+from gridmeter.operators.boosting import BoostConfig, BoostedTrees, with_prediction
 from gridmeter.operators.features import (
     BASIC_LAGS, BASIC_ROLLING, HISTORY, advanced_features, feature_columns, with_trend,
 )
@@ -140,25 +140,15 @@ def train_gbt(train: DataFrame, cols: Sequence[str], rounds: int = 100, eta: flo
     return _fit(GBTRegressor(labelCol=E, maxIter=rounds, stepSize=eta, maxDepth=depth, seed=42), train, cols)
 
 
-@dataclass(frozen=True)
-class BoostConfig:
-    eta: float
-    depth: int
-    min_rows: int
-    subsample: float
-    column_share: float
-    min_gain: float
-
-
 # The searched settings of the next-hour and the next-day model.
 GRID_1H = [
-    BoostConfig(0.02, 6, 3, 0.80, 0.80, 0.0),
-    BoostConfig(0.01, 5, 5, 0.85, 0.75, 0.1),
-    BoostConfig(0.03, 7, 3, 0.75, 0.85, 0.0),
+    BoostConfig(0.02, 6, 3, 0.80, 0.80, 0.0, 0.10, 1.0),
+    BoostConfig(0.01, 5, 5, 0.85, 0.75, 0.1, 0.05, 2.0),
+    BoostConfig(0.03, 7, 3, 0.75, 0.85, 0.0, 0.00, 0.5),
 ]
 GRID_24H = [
-    BoostConfig(0.01, 6, 5, 0.80, 0.80, 0.1),
-    BoostConfig(0.02, 5, 3, 0.85, 0.75, 0.0),
+    BoostConfig(0.01, 6, 5, 0.80, 0.80, 0.1, 0.10, 2.0),
+    BoostConfig(0.02, 5, 3, 0.85, 0.75, 0.0, 0.05, 1.0),
 ]
 
 
@@ -166,8 +156,9 @@ def tune_gbt(
     train: DataFrame, validation: DataFrame, cols: Sequence[str], grid: Sequence[BoostConfig] = tuple(GRID_1H),
     target: str = E, rounds: int = 2000,
 ) -> tuple[PipelineModel, list[float]]:
-    """Boosted trees on log(1 + kWh) with early stopping; the setting with the lowest validation MAE in kWh wins.
+    """Boosted trees of Spark ML on log(1 + kWh) with early stopping; the setting with the lowest validation MAE in kWh wins.
 
+    Spark ML knows no penalties on leaves and stops at the first small gain; `boosting.tune` has both, and patience.
     Returns the model and the validation error of every setting. Only those error numbers reach the driver.
     """
     tagged = train.withColumn("_validation", F.lit(False)).unionByName(validation.withColumn("_validation", F.lit(True)))
@@ -191,9 +182,17 @@ def tune_gbt(
     return PipelineModel(stages=[assembler, best]), errors
 
 
-def predict(model: PipelineModel, df: DataFrame, horizon: int, name: str, log_scale: bool = False, actual: str = E) -> DataFrame:
-    value = from_log(F.col("prediction")) if log_scale else F.col("prediction")
-    return model.transform(df).select(
+def _scored(model: PipelineModel | BoostedTrees, df: DataFrame, log_scale: bool = True) -> DataFrame:
+    """Adds `_kwh`, the prediction in kWh; null where boosted trees lack a feature."""
+    if isinstance(model, BoostedTrees):
+        return with_prediction(df, model, "_kwh")
+    value = F.col("prediction")
+    return model.transform(df).withColumn("_kwh", from_log(value) if log_scale else value)
+
+
+def predict(model: PipelineModel | BoostedTrees, df: DataFrame, horizon: int, name: str, log_scale: bool = False, actual: str = E) -> DataFrame:
+    value = F.col("_kwh")
+    return _scored(model, df, log_scale).select(
         S, TS, F.col(actual).alias("actual"), value.alias("predicted"), F.lit(horizon).alias("horizon"), F.lit(name).alias("model"),
     )
 
@@ -267,6 +266,18 @@ def recursive_forecast(
 
 
 # --- direct forecast for many households ---------------------------------------------------------------------------
+def recursive_evaluation(models: dict[str, PipelineModel], history: DataFrame, steps: int = 24) -> DataFrame:
+    """Recursive forecasts of the last `steps` hours of every series from the hours before them, beside what was read."""
+    back = F.row_number().over(Window.partitionBy(S).orderBy(F.desc(TS)))
+    rows = cut_lineage(history.select(S, TS, E).withColumn("_back", back))
+    before, actual = rows.filter(F.col("_back") > steps).drop("_back"), rows.filter(F.col("_back") <= steps).select(S, TS, F.col(E).alias("actual"))
+    paths = None
+    for name, model in models.items():
+        path = recursive_forecast(model, before, steps, name)
+        paths = path if paths is None else paths.unionByName(path)
+    return paths.join(actual, [S, TS], "left").select(*PREDICTION_COLUMNS)
+
+
 def with_future_hour(history: DataFrame) -> DataFrame:
     """Append the hour after the last one of each series, with unknown energy."""
     following = history.groupBy(S).agg((F.max(TS) + F.expr("INTERVAL 1 HOUR")).alias(TS)).select(
@@ -292,28 +303,28 @@ def next_day_rows(history: DataFrame) -> DataFrame:
     return rows.withColumn("target_ts", F.timestamp_seconds(F.unix_timestamp(TS) + 3600 * NEXT_DAY_EXTRA_HOURS))
 
 
-def predict_next_hour(history: DataFrame, model: PipelineModel) -> DataFrame:
-    return model.transform(next_hour_rows(history)).select(
-        S, TS, from_log(F.col("prediction")).alias("predicted"), F.lit(1).alias("horizon")
-    )
+def predict_next_hour(history: DataFrame, model: PipelineModel | BoostedTrees) -> DataFrame:
+    return _scored(model, next_hour_rows(history)).select(S, TS, F.col("_kwh").alias("predicted"), F.lit(1).alias("horizon"))
 
 
-def predict_next_day(history: DataFrame, model: PipelineModel) -> DataFrame:
-    rows = model.transform(next_day_rows(history))
-    return rows.select(
-        S, F.col("target_ts").alias(TS), from_log(F.col("prediction")).alias("predicted"), F.lit(24).alias("horizon"),
-    )
+def predict_next_day(history: DataFrame, model: PipelineModel | BoostedTrees) -> DataFrame:
+    rows = _scored(model, next_day_rows(history))
+    return rows.select(S, F.col("target_ts").alias(TS), F.col("_kwh").alias("predicted"), F.lit(24).alias("horizon"))
 
 
-def forecast_households(history: DataFrame, model: PipelineModel, horizon: int = 1) -> DataFrame:
-    """Forecast every household that has enough history; the others come back with their status only."""
+def forecast_households(history: DataFrame, model: PipelineModel | BoostedTrees, horizon: int = 1) -> DataFrame:
+    """Forecast every household that has enough history; the others come back with their status only.
+
+    An hour whose features are not all known, as after a gap, has the status incomplete_features and no prediction.
+    """
     status = forecast_eligibility(history, horizon)
     ready = history.join(status.filter(F.col("status") == "complete").select(S), S, "left_semi")
     forecast = predict_next_hour(ready, model) if horizon == 1 else predict_next_day(ready, model)
     priced = forecast.withColumn("estimated_cost", flat_cost(F.col("predicted")) if horizon == 24 else F.lit(None).cast("double"))
     thresholds = percentiles(history, {"threshold": 0.9})
     return status.join(thresholds, S).join(priced.drop("horizon"), S, "left").select(
-        S, "horizon", "status", "required_hours", "available_hours", TS, "predicted", "estimated_cost",
+        S, "horizon", F.when(F.col(TS).isNotNull() & F.col("predicted").isNull(), "incomplete_features").otherwise(F.col("status")).alias("status"),
+        "required_hours", "available_hours", TS, "predicted", "estimated_cost",
         "threshold", F.lit("User Dataset Threshold").alias("threshold_type"),
     )
 
@@ -321,6 +332,6 @@ def forecast_households(history: DataFrame, model: PipelineModel, horizon: int =
 __all__ = [
     "BoostConfig", "GRID_1H", "GRID_24H", "MIN_HOURLY_HISTORY", "assemble", "feature_columns", "feature_importance",
     "forecast_households", "load_model", "naive", "next_day_rows", "next_hour_rows", "predict", "predict_next_day",
-    "predict_next_hour", "recursive_forecast", "save_model", "seasonal_ar_fit", "seasonal_ar_forecast",
+    "predict_next_hour", "recursive_evaluation", "recursive_forecast", "save_model", "seasonal_ar_fit", "seasonal_ar_forecast",
     "seasonal_ar_predict", "train_gbt", "train_rf", "tune_gbt",
 ]

@@ -1,15 +1,19 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmeter.operators import boosting
 from gridmeter.operators import features as f
 from gridmeter.operators import forecast as fc
+from gridmeter.operators.boosting import BoostedTrees
 from gridmeter.operators.quality import null_counts
 from gridmeter.operators.split import chronological_split, tail_per_series, with_target
 from gridmeter.queries.registry import Tables, query
 from gridmeter.queries.windows import BASIC_SQL, SPLIT_SQL, split_rows
-from gridmeter.session import cut_lineage, shared_folder
+from gridmeter.session import cut_lineage, models_folder, shared_folder
 
 COVARIATES = ["total_k", "avg_k"]
 
@@ -104,27 +108,64 @@ def _(t: Tables) -> DataFrame:
 @query("m6_recursive_forecast")
 def _(t: Tables) -> DataFrame:
     split, cols = training_rows(t)
-    model = fc.train_rf(split.filter("split = 'train'"), cols)
-    return fc.recursive_forecast(model, t.clean(), 24)
+    train = split.filter("split = 'train'")
+    return fc.recursive_evaluation({"RandomForest": fc.train_rf(train, cols), "GBT": fc.train_gbt(train, cols)}, t.clean())
 
 
 def advanced_rows(t: Tables) -> tuple[DataFrame, list[str]]:
-    rows = cut_lineage(f.drop_incomplete(f.advanced_features(t.clean().select("series_id", "ts", "energy_kwh"))))
-    return cut_lineage(chronological_split(rows)), f.feature_columns(rows)
+    """Advanced features of the hours of the basic feature table, holes filled with the last known value or zero, split as that table is."""
+    clean = t.clean().select("series_id", "ts", "energy_kwh")
+    keys = cut_lineage(chronological_split(t.features()).select("series_id", "ts", "split"))
+    rows = f.locf_zero(f.align_to(keys.select("series_id", "ts"), f.advanced_features(clean)))
+    rows = cut_lineage(rows.join(keys, ["series_id", "ts"]))
+    order = Window.partitionBy("series_id").orderBy("ts")
+    return rows.withColumn("pos", F.row_number().over(order)), f.feature_columns(rows, ["split"])
+
+
+def tuned(t: Tables, horizon: int) -> tuple[BoostedTrees, dict, DataFrame]:
+    """The tuned model of a horizon with its manifest, and its table; fitted once for a table and its settings, and kept.
+
+    It predicts the row's own hour, or for the next day the hour 23 rows ahead.
+    """
+    rows, cols = advanced_rows(t)
+    target, grid = "energy_kwh", fc.GRID_1H
+    if horizon == 24:
+        rows, target, grid = cut_lineage(with_target(rows)), "target", fc.GRID_24H
+    train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+
+    def fit() -> tuple[BoostedTrees, dict]:
+        model, told = boosting.tune(train, validation, cols, grid, target)
+        p90 = train.agg(F.percentile_approx("energy_kwh", 0.9, 10_000)).first()[0]
+        return model, {"horizon": horizon, "p90": p90, "settings": told}
+
+    told = repr((horizon, cols, grid, boosting.ROUNDS, boosting.PATIENCE, boosting.BINS))
+    key = f"tuned-{horizon}h-{boosting.table_hash(train.unionByName(validation))}-{zlib.crc32(told.encode()):08x}"
+    model, manifest = boosting.kept_model(t.spark, models_folder(t.spark), key, fit)
+    return model, manifest, rows
 
 
 @query("m7_tuned_boosted_trees")
 def _(t: Tables) -> DataFrame:
-    rows, cols = advanced_rows(t)
-    ahead = cut_lineage(with_target(rows))
-    model, _ = fc.tune_gbt(ahead.filter("split = 'train'"), ahead.filter("split = 'validation'"), cols, fc.GRID_24H, "target", rounds=20)
-    return fc.predict(model, ahead.filter("split = 'test'"), 24, "GBT-24H", log_scale=True, actual="target")
+    model, _, rows = tuned(t, 24)
+    return fc.predict(model, rows.filter("split = 'test'"), 24, "GBT-24H", actual="target")
+
+
+@query("m7_tuned_next_hour")
+def _(t: Tables) -> DataFrame:
+    model, _, rows = tuned(t, 1)
+    return fc.predict(model, rows.filter("split = 'test'"), 1, "GBT-1H")
+
+
+@query("m7_tuning_report")
+def _(t: Tables) -> DataFrame:
+    told = [(h, i, s["eta"], s["depth"], s["rounds_run"], s["rounds_kept"], s["validation_mae"])
+            for h in (1, 24) for i, s in enumerate(tuned(t, h)[1]["settings"])]
+    return t.spark.createDataFrame(told, "horizon int, setting int, eta double, depth int, rounds_run int, rounds_kept int, validation_mae double")
 
 
 @query("m11_feature_importance")
 def _(t: Tables) -> DataFrame:
-    split, cols = training_rows(t)
-    return fc.feature_importance(fc.train_rf(split.filter("split = 'train'"), cols), t.spark)
+    return tuned(t, 1)[0].importance(t.spark)
 
 
 @query("m12_saved_model")
@@ -154,31 +195,16 @@ def _(t: Tables) -> DataFrame:
     return fc.next_day_rows(t.clean()).select("series_id", "ts", "target_ts", "lag_1", "lag_24", "lag_168")
 
 
-#: Rounds of the registered tunings; the operator's own default is 2,000.
-ROUNDS = 20
-
-
-def household_model(t: Tables, horizon: int) -> fc.PipelineModel:
-    """The model behind user forecasts: of the row's own hour, or of the hour 23 rows ahead for the next day."""
-    rows, cols = advanced_rows(t)
-    if horizon == 1:
-        target, grid = "energy_kwh", fc.GRID_1H
-    else:
-        rows, target, grid = cut_lineage(with_target(rows)), "target", fc.GRID_24H
-    model, _ = fc.tune_gbt(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), cols, grid, target, rounds=ROUNDS)
-    return model
-
-
 @query("m8_predict_next_hour")
 def _(t: Tables) -> DataFrame:
-    return fc.predict_next_hour(t.clean(), household_model(t, 1))
+    return fc.predict_next_hour(t.clean(), tuned(t, 1)[0])
 
 
 @query("m9_predict_next_day")
 def _(t: Tables) -> DataFrame:
-    return fc.predict_next_day(t.clean(), household_model(t, 24))
+    return fc.predict_next_day(t.clean(), tuned(t, 24)[0])
 
 
 @query("m10_forecast_households")
 def _(t: Tables) -> DataFrame:
-    return fc.forecast_households(t.zero_filled(), household_model(t, 24), 24)
+    return fc.forecast_households(t.zero_filled(), tuned(t, 24)[0], 24)

@@ -55,3 +55,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="gridmeter-tables-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def models_folder(spark: SparkSession) -> str:
+    """Where fitted models are kept: in spark.checkpoint.dir, so that later sessions find them, else beside this session's tables."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or shared_folder(spark, "models")
+    return f"{base.rstrip('/')}/kept-models"
