@@ -208,6 +208,10 @@ class BoostedTrees:
         out[np.isnan(x).any(axis=1)] = np.nan
         return out
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds `prediction`, as models of Spark ML do."""
+        return with_prediction(df, self)
+
     def importance(self, spark: SparkSession) -> DataFrame:
         """Features ranked by their share of all gain; one row a feature."""
         gains = dict.fromkeys(self.features, 0.0)

@@ -9,11 +9,12 @@ from gridmeter.operators import boosting
 from gridmeter.operators import features as f
 from gridmeter.operators import forecast as fc
 from gridmeter.operators.boosting import BoostedTrees
+from gridmeter.operators.forest import train_forest
 from gridmeter.operators.quality import null_counts
 from gridmeter.operators.split import chronological_split, tail_per_series, with_target
 from gridmeter.queries.registry import Tables, query
 from gridmeter.queries.windows import BASIC_SQL, SPLIT_SQL, split_rows
-from gridmeter.session import cut_lineage, models_folder, shared_folder
+from gridmeter.session import cut_lineage, models_folder
 
 COVARIATES = ["total_k", "avg_k"]
 
@@ -94,7 +95,7 @@ def _(t: Tables) -> DataFrame:
 @query("m3_random_forest")
 def _(t: Tables) -> DataFrame:
     split, cols = training_rows(t)
-    model = fc.train_rf(split.filter("split = 'train'"), cols)
+    model = train_forest(split.filter("split = 'train'"), cols)
     return fc.predict(model, split.filter("split = 'test'"), 1, "RandomForest")
 
 
@@ -170,10 +171,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("m12_saved_model")
 def _(t: Tables) -> DataFrame:
-    split, cols = training_rows(t)
-    path = shared_folder(t.spark, "model")
-    fc.save_model(fc.train_rf(split.filter("split = 'train'"), cols), path)
-    return fc.predict(fc.load_model(path), split.filter("split = 'test'"), 1, "RandomForest")
+    tuned(t, 1)
+    model, manifest, rows = tuned(t, 1)  # read back
+    return fc.predict(model, rows.filter("split = 'test'"), 1, "GBT-1H").withColumn("threshold", F.lit(manifest["p90"]))
 
 
 FUTURE_SQL = """
