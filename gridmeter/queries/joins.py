@@ -35,7 +35,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def model_predictions(t: Tables) -> DataFrame:
-    """Three deterministic models over the cleaned series: naive, a flat mean of two lags, and a scaled copy."""
+    """Three deterministic models over the cleaned series: naive, half of it plus ten, and nine tenths of it."""
     naive = t.predictions()
     blend = naive.withColumns({"predicted": F.col("predicted") * 0.5 + 10, "model": F.lit("Blend_x")})
     scaled = naive.withColumns({"predicted": F.col("predicted") * 0.9, "model": F.lit("Scaled")})
