@@ -23,9 +23,29 @@ def upload_months(catalog: DataFrame) -> DataFrame:
     return _dated(catalog).withColumn("month", months).withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
+def covered_months(catalog: DataFrame) -> DataFrame:
+    """One row per user and calendar month that any of the user's uploads covers.
+
+    Uploads are coalesced into disjoint runs of months first, so overlapping uploads never repeat a month: of all uploads that
+    begin in a month only the one that reaches furthest counts, and a run ends where none of the earlier ones reaches on.
+    """
+    number = lambda ts: F.year(ts) * 12 + F.month(ts) - 1
+    reach = _dated(catalog).groupBy(USER, number(F.col("start_timestamp")).alias("_first")).agg(
+        F.max(number(F.col("end_timestamp"))).alias("_last")
+    ).filter("_last >= _first")
+    in_order = Window.partitionBy(USER).orderBy("_first")
+    before = F.max("_last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(before >= F.col("_first") - 1, 0).otherwise(1)
+    runs = reach.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(in_order))
+    runs = runs.groupBy(USER, "_run").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    months = runs.select(USER, F.explode(F.sequence("_first", "_last")).alias("_month"))
+    text = F.format_string("%04d-%02d", F.floor(F.col("_month") / 12), F.col("_month") % 12 + 1)
+    return months.select(USER, text.alias("month"))
+
+
 def user_periods(catalog: DataFrame) -> DataFrame:
     """Months and years with data per user, newest first, with the latest period and upload."""
-    months = upload_months(catalog).groupBy(USER).agg(F.collect_set("month").alias("_months"))
+    months = covered_months(catalog).groupBy(USER).agg(F.collect_list("month").alias("_months"))
     newest = F.struct(-F.unix_micros(F.col("end_timestamp").cast("timestamp")), F.col("id"))
     latest = _dated(catalog).groupBy(USER).agg(
         F.date_format(F.max("end_timestamp"), "yyyy-MM").alias("latest_period"),
@@ -74,10 +94,11 @@ def merge_uploads(readings: DataFrame, catalog: DataFrame, scale: int | None = N
         exact_sum(F.col("energy_kwh"), scale).alias("_sum")
     ).select(USER, hour_index("ts").alias("_h"), F.lit(0).alias("_delta"), "_sum")
     dated = _dated(catalog)
-    nothing = F.lit(None).cast("double").alias("_sum")
-    starts = dated.select(USER, hour_index("start_timestamp").alias("_h"), F.lit(1).alias("_delta"), nothing)
-    ends = dated.select(USER, (hour_index("end_timestamp") + 1).alias("_h"), F.lit(-1).alias("_delta"), nothing)
-    per_hour = hours.unionByName(starts).unionByName(ends).groupBy(USER, "_h").agg(
+    edges = dated.select(USER, F.inline(F.array(
+        F.struct(hour_index("start_timestamp").alias("_h"), F.lit(1).alias("_delta")),
+        F.struct((hour_index("end_timestamp") + 1).alias("_h"), F.lit(-1).alias("_delta")),
+    ))).withColumn("_sum", F.lit(None).cast("double"))
+    per_hour = hours.unionByName(edges).groupBy(USER, "_h").agg(
         F.sum("_delta").alias("_delta"), F.sum("_sum").alias("_sum")
     )
     running = Window.partitionBy(USER).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
@@ -94,13 +115,14 @@ def period_totals(merged: DataFrame, catalog: DataFrame, rate: float = FLAT_RATE
     Hours without a reading count as zero, so a month that an upload of the catalog covers is there with 0 kWh even if no
     reading falls into it. Months are enough for that; no hours are filled.
     """
-    covered = upload_months(catalog).select(USER, F.col("month").alias("period")).distinct()
-    read = merged.groupBy(USER, F.date_format("ts", "yyyy-MM").alias("period")).agg(F.sum("energy_kwh").alias("consumption_kwh"))
-    months = covered.join(read, [USER, "period"], "full").select(USER, "period", F.coalesce("consumption_kwh", F.lit(0.0)).alias("consumption_kwh"))
-    years = months.groupBy(USER, F.substring("period", 1, 4).alias("period")).agg(
+    zero = covered_months(catalog).select(USER, F.col("month").alias("period"), F.lit(0.0).alias("consumption_kwh"))
+    read = merged.select(USER, F.date_format("ts", "yyyy-MM").alias("period"), F.col("energy_kwh").alias("consumption_kwh"))
+    months = zero.unionByName(read).groupBy(USER, "period").agg(F.sum("consumption_kwh").alias("consumption_kwh"))
+    both = F.explode(F.array(F.col("period"), F.substring("period", 1, 4))).alias("period")
+    totals = months.select(USER, both, "consumption_kwh").groupBy(USER, "period").agg(
         F.sum("consumption_kwh").alias("consumption_kwh")
     )
-    return months.unionByName(years).withColumn("cost", flat_cost(F.col("consumption_kwh"), rate))
+    return totals.withColumn("cost", flat_cost(F.col("consumption_kwh"), rate))
 
 
 def _change(now: Column, before: Column) -> Column:
@@ -110,13 +132,16 @@ def _change(now: Column, before: Column) -> Column:
 
 def period_comparison(totals: DataFrame) -> DataFrame:
     """Each period next to the one before; a missing previous period gives null, a non-positive one 0 %."""
-    before = totals.select(
-        USER, F.col("period").alias("previous_period"), F.col("consumption_kwh").alias("previous_kwh"),
-        F.col("cost").alias("previous_cost"),
-    )
-    return totals.withColumn("previous_period", previous_period(F.col("period"))).join(
-        before, [USER, "previous_period"], "left"
-    ).select(
+    # Months and years are rows of their own, so the period before, if there is one, is the row before of the same kind.
+    in_order = Window.partitionBy(USER, F.length("period")).orderBy("period")
+    kept = {"_before": "period", "_kwh": "consumption_kwh", "_cost": "cost"}
+    rows = totals.withColumns({name: F.lag(source).over(in_order) for name, source in kept.items()})
+    adjacent = F.col("_before") == previous_period(F.col("period"))
+    rows = rows.withColumns({
+        "previous_period": F.when(adjacent, F.col("_before")), "previous_kwh": F.when(adjacent, F.col("_kwh")),
+        "previous_cost": F.when(adjacent, F.col("_cost")),
+    })
+    return rows.select(
         USER, "period", "consumption_kwh", "cost",
         F.when(F.col("previous_kwh").isNotNull(), F.col("previous_period")).alias("previous_period"),
         (F.col("cost") - F.col("previous_cost")).alias("cost_difference"),
@@ -187,7 +212,7 @@ def cost_analytics(totals: DataFrame, catalog: DataFrame) -> DataFrame:
 
     The average divides by every month the catalog lists, with or without data; the newest month wins a tie.
     """
-    listed = upload_months(catalog).select(USER, "month").distinct()
+    listed = covered_months(catalog)
     costs = totals.select(USER, F.col("period").alias("month"), "consumption_kwh", "cost")
     known = F.col("cost").isNotNull()
     return listed.join(costs, [USER, "month"], "left").groupBy(USER).agg(

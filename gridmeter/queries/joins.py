@@ -133,7 +133,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("j8_user_periods", needs="listed", sql="""
-, m AS (SELECT DISTINCT user_id, month FROM listed),
+, m AS (SELECT user_id, month FROM listed),
 y AS (SELECT user_id, string_agg(yr, ' ' ORDER BY yr DESC) AS years FROM (SELECT DISTINCT user_id, substr(month, 1, 4) AS yr FROM m) GROUP BY 1),
 l AS (SELECT user_id, strftime(end_timestamp, '%Y-%m') AS latest_period, id AS latest_upload_id FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_timestamp DESC, id) AS rn FROM catalog) WHERE rn = 1)
@@ -145,7 +145,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("j9_period_comparison", needs="totals", digits=5, doubles="consumption_kwh cost cost_difference cost_change_percent "
        "consumption_change_percent", sql="""
-, keyed AS (SELECT *, CASE WHEN length(period) = 4 THEN CAST(CAST(period AS INTEGER) - 1 AS VARCHAR)
+, keyed AS MATERIALIZED (SELECT *, CASE WHEN length(period) = 4 THEN CAST(CAST(period AS INTEGER) - 1 AS VARCHAR)
        ELSE strftime(strptime(period || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m') END AS prev FROM totals)
 SELECT a.user_id, a.period, a.consumption_kwh, a.cost, b.period AS previous_period, a.cost - b.cost AS cost_difference,
        CASE WHEN b.cost > 0 THEN (a.cost - b.cost) / b.cost * 100 WHEN b.cost IS NOT NULL THEN 0.0 END AS cost_change_percent,
@@ -153,7 +153,8 @@ SELECT a.user_id, a.period, a.consumption_kwh, a.cost, b.period AS previous_peri
             WHEN b.consumption_kwh IS NOT NULL THEN 0.0 END AS consumption_change_percent
 FROM keyed a LEFT JOIN totals b ON b.user_id = a.user_id AND b.period = a.prev""")
 def _(t: Tables) -> DataFrame:
-    return h.period_comparison(h.period_totals(h.merge_uploads(t.upload_readings(), t.catalog(), scale=9), t.catalog()))
+    catalog = t.catalog()
+    return h.period_comparison(h.period_totals(h.merge_uploads(t.upload_readings(), catalog, scale=9), catalog))
 
 
 @query("j10_owned_uploads", needs="catalog", sql="""
@@ -248,7 +249,7 @@ def _(t: Tables) -> DataFrame:
 @query("g11_cost_analytics", needs="totals listed", digits=5, doubles="total_cost total_consumption average_monthly_cost highest_cost lowest_cost", sql="""
 , months AS (SELECT l.user_id, l.month, t.cost, t.consumption_kwh, row_number() OVER (PARTITION BY l.user_id ORDER BY t.cost DESC NULLS LAST, l.month DESC) AS hi,
              row_number() OVER (PARTITION BY l.user_id ORDER BY t.cost NULLS LAST, l.month DESC) AS lo
-  FROM (SELECT DISTINCT user_id, month FROM listed) l LEFT JOIN totals t ON t.user_id = l.user_id AND t.period = l.month)
+  FROM (SELECT user_id, month FROM listed) l LEFT JOIN totals t ON t.user_id = l.user_id AND t.period = l.month)
 SELECT user_id, coalesce(sum(cost), 0.0) AS total_cost, coalesce(sum(consumption_kwh), 0.0) AS total_consumption,
        coalesce(sum(cost), 0.0) / count(*) AS average_monthly_cost, max(month) FILTER (hi = 1) AS highest_cost_month, max(cost) AS highest_cost,
        max(month) FILTER (lo = 1) AS lowest_cost_month, min(cost) AS lowest_cost, count(*) AS months_analyzed FROM months GROUP BY 1""")

@@ -177,9 +177,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                max(o_orderdate) AS created_at
         FROM orders GROUP BY o_custkey, substr(o_orderpriority, 1, 1)"""),
     "listed": (("catalog",), """
-        SELECT DISTINCT user_id, id, start_timestamp, end_timestamp, strftime(unnest(generate_series(
-               date_trunc('month', start_timestamp), date_trunc('month', end_timestamp), INTERVAL 1 MONTH)), '%Y-%m') AS month
-        FROM catalog"""),
+        SELECT DISTINCT user_id, printf('%04d-%02d', m // 12, m % 12 + 1) AS month FROM (
+          SELECT user_id, unnest(generate_series(s, e)) AS m FROM (
+            SELECT DISTINCT user_id, year(start_timestamp) * 12 + month(start_timestamp) - 1 AS s,
+                   year(end_timestamp) * 12 + month(end_timestamp) - 1 AS e FROM catalog))"""),
     "merged": (("catalog",), """
         SELECT h.user_id, h.ts, h.total / count(*) AS energy_kwh FROM (
           SELECT o_custkey AS user_id, date_trunc('hour', o_orderdate) AS ts,
@@ -188,12 +189,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
              AND date_trunc('hour', c.end_timestamp)
         GROUP BY h.user_id, h.ts, h.total"""),
     "zero_months": (("merged", "listed"), """
-        SELECT user_id, month || '-01' AS day, 0.0 AS energy_kwh FROM listed
-        UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d'), energy_kwh FROM merged"""),
+        SELECT user_id, month, sum(energy_kwh) AS energy_kwh FROM (
+          SELECT user_id, month, 0.0 AS energy_kwh FROM listed
+          UNION ALL SELECT user_id, strftime(ts, '%Y-%m'), energy_kwh FROM merged) GROUP BY 1, 2"""),
     "totals": (("zero_months",), """
         SELECT user_id, period, consumption_kwh, consumption_kwh * 7.0 AS cost FROM (
-          SELECT user_id, substr(day, 1, 7) AS period, sum(energy_kwh) AS consumption_kwh FROM zero_months GROUP BY 1, 2
-          UNION ALL SELECT user_id, substr(day, 1, 4), sum(energy_kwh) FROM zero_months GROUP BY 1, 2)"""),
+          SELECT user_id, month AS period, energy_kwh AS consumption_kwh FROM zero_months
+          UNION ALL SELECT user_id, substr(month, 1, 4), sum(energy_kwh) FROM zero_months GROUP BY 1, 2)"""),
     "latest": (("catalog",), """
         SELECT user_id, strftime(max(end_timestamp), '%Y-%m') AS latest_period FROM catalog GROUP BY 1"""),
     "ecatalog": ((), """
@@ -210,6 +212,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Blocks that a query reads more than once.
+READ_TWICE = {"listed", "merged", "zero_months", "totals"}
+
+
 def ctes(*names: str) -> str:
     """WITH clause that defines the named blocks and everything they need."""
     order: list[str] = []
@@ -222,7 +228,7 @@ def ctes(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in order)
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in READ_TWICE else ''}({CTES[n][1].strip()})" for n in order)
 
 
 def nudge(digits: int) -> float:
