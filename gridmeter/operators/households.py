@@ -23,26 +23,44 @@ def upload_months(catalog: DataFrame) -> DataFrame:
     return _dated(catalog).withColumn("month", months).withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
-def covered_months(catalog: DataFrame) -> DataFrame:
-    """One row per user and calendar month that any of the user's uploads covers.
+def covered_runs(spans: DataFrame) -> DataFrame:
+    """Disjoint runs (_first, _last) of whole numbers that any span (_first, _last) of a user covers.
 
-    Uploads are coalesced into disjoint runs of months first, so overlapping uploads never repeat a month: of all uploads that
-    begin in a month only the one that reaches furthest counts, and a run ends where none of the earlier ones reaches on.
+    Of all spans that begin at the same number only the one that reaches furthest counts, and a run ends where none of the
+    earlier ones reaches on; spans are never compared pairwise.
     """
-    number = lambda ts: F.year(ts) * 12 + F.month(ts) - 1
-    reach = _dated(catalog).groupBy(USER, number(F.col("start_timestamp")).alias("_first")).agg(
-        F.max(number(F.col("end_timestamp"))).alias("_last")
-    ).filter("_last >= _first")
+    reach = spans.groupBy(USER, "_first").agg(F.max("_last").alias("_last")).filter("_last >= _first")
     in_order = Window.partitionBy(USER).orderBy("_first")
     before = F.max("_last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(before >= F.col("_first") - 1, 0).otherwise(1)
     runs = reach.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(in_order))
-    runs = runs.groupBy(USER, "_run").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    return runs.groupBy(USER, "_run").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")).drop("_run")
+
+
+def covered_months(catalog: DataFrame) -> DataFrame:
+    """One row per user and calendar month that any of the user's uploads covers."""
+    number = lambda name: F.year(name) * 12 + F.month(name) - 1
+    runs = covered_runs(_dated(catalog).select(USER, number("start_timestamp").alias("_first"), number("end_timestamp").alias("_last")))
     months = runs.select(USER, F.explode(F.sequence("_first", "_last")).alias("_month"))
     text = F.format_string("%04d-%02d", F.floor(F.col("_month") / 12), F.col("_month") % 12 + 1)
     return months.select(USER, text.alias("month"))
 
 
+def covered_hours(catalog: DataFrame) -> DataFrame:
+    """Disjoint runs of hours (_first to _last, counted from 1970) with any upload of a user, cut at the ends of months.
+
+    A row stands for as many hours as it spans, so what depends on the number of hours is counted from its two ends.
+    """
+    runs = covered_runs(_dated(catalog).select(USER, hour_index("start_timestamp").alias("_first"), hour_index("end_timestamp").alias("_last")))
+    begin = lambda name: F.trunc(F.timestamp_seconds(F.col(name) * 3600), "MM")
+    cut = runs.withColumn("_month", F.explode(F.sequence(begin("_first"), begin("_last"), F.expr("INTERVAL 1 MONTH"))))
+    opens, closes = F.col("_month").cast("timestamp"), F.add_months("_month", 1).cast("timestamp")
+    return cut.withColumns({"_opens": opens, "_closes": closes}).select(
+        USER, F.date_format("_month", "yyyy-MM").alias("month"), F.greatest("_first", hour_index("_opens")).alias("_first"),
+        F.least(F.col("_last"), hour_index("_closes") - 1).alias("_last"),
+    )
+
+
 def user_periods(catalog: DataFrame) -> DataFrame:
     """Months and years with data per user, newest first, with the latest period and upload."""
     months = covered_months(catalog).groupBy(USER).agg(F.collect_list("month").alias("_months"))
@@ -56,17 +74,22 @@ def user_periods(catalog: DataFrame) -> DataFrame:
     return months.select(USER, periods.alias("periods"), years.alias("years")).join(latest, USER)
 
 
+def period_months(requests: DataFrame) -> DataFrame:
+    """One row per user, requested period and month of it, with the bounds of the period; what is no period is left out."""
+    wanted = requests.select(USER, "period").distinct().withColumn("_b", period_bounds(F.col("period")))
+    wanted = wanted.select(USER, "period", F.col("_b.start").alias("p_start"), F.col("_b.end").alias("p_end"))
+    months = F.explode(F.sequence(F.trunc("p_start", "MM"), F.trunc("p_end", "MM"), F.expr("INTERVAL 1 MONTH")))
+    wanted = wanted.filter(F.col("p_start").isNotNull()).withColumn("month", months)
+    return wanted.withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
 def uploads_in_period(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """Uploads that overlap a requested period of their user.
 
     Both sides are expanded to calendar months and joined on (user, month), then checked against the exact bounds: an
     equi-join instead of comparing every upload of a user with every period.
     """
-    wanted = requests.select(USER, "period").distinct().withColumn("_b", period_bounds(F.col("period")))
-    wanted = wanted.select(USER, "period", F.col("_b.start").alias("p_start"), F.col("_b.end").alias("p_end"))
-    months = F.explode(F.sequence(F.trunc("p_start", "MM"), F.trunc("p_end", "MM"), F.expr("INTERVAL 1 MONTH")))
-    wanted = wanted.filter(F.col("p_start").isNotNull()).withColumn("month", months)
-    wanted = wanted.withColumn("month", F.date_format("month", "yyyy-MM"))
+    wanted = period_months(requests)
     pairs = upload_months(catalog).select(USER, "id", "start_timestamp", "end_timestamp", "month").join(wanted, [USER, "month"])
     # A pair that shares several months is kept in the first shared month only.
     first_shared = F.date_format(F.greatest(F.col("start_timestamp").cast("timestamp"), "p_start"), "yyyy-MM")
@@ -74,14 +97,16 @@ def uploads_in_period(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     return pairs.filter(overlap & (F.col("month") == first_shared)).select(USER, "period", "id", "p_start", "p_end")
 
 
-def user_period_data(hourly: DataFrame, catalog: DataFrame, requests: DataFrame) -> DataFrame:
-    """Readings of a user in a requested period, averaged over overlapping uploads.
+def user_period_data(merged: DataFrame, catalog: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every hour of a requested period that an upload of the user covers, with its merged reading or zero.
 
-    `hourly`: id (upload), ts, energy_kwh, zero-filled per upload.
+    `merged`: output of `merge_uploads`. An hour is there once for each period, however many uploads cover it.
     """
-    matches = uploads_in_period(catalog, requests)
-    rows = hourly.join(matches, "id").filter((F.col("ts") >= F.col("p_start")) & (F.col("ts") <= F.col("p_end")))
-    return rows.groupBy(USER, "period", "ts").agg(F.avg("energy_kwh").alias("energy_kwh"))
+    hours = covered_hours(catalog).join(period_months(requests).select(USER, "period", "month"), [USER, "month"]).select(
+        USER, "period", F.explode(F.sequence("_first", "_last")).alias("_h"))
+    read = merged.select(USER, hour_index("ts").alias("_h"), "energy_kwh")
+    return hours.join(read, [USER, "_h"], "left").select(
+        USER, "period", F.timestamp_seconds(F.col("_h") * 3600).alias("ts"), F.coalesce("energy_kwh", F.lit(0.0)).alias("energy_kwh"))
 
 
 def merge_uploads(readings: DataFrame, catalog: DataFrame, scale: int | None = None) -> DataFrame:
@@ -171,23 +196,40 @@ def resolve_periods(totals: DataFrame, latest: DataFrame, requests: DataFrame) -
     )
 
 
-def dashboard_month(merged: DataFrame, requests: DataFrame, rate: float = FLAT_RATE_PER_KWH) -> DataFrame:
-    """Month dashboard in long form: total, totals by day, means by hour of day, each with its flat-rate cost."""
-    rows = merged.withColumn("period", F.date_format("ts", "yyyy-MM")).join(
-        requests.select(USER, "period").distinct(), [USER, "period"]
-    )
-    keyed = rows.select(USER, "period", F.to_date("ts").alias("_date"), F.hour("ts").alias("_hour"), "energy_kwh")
-    user, period, date, hour = (F.col(c) for c in (USER, "period", "_date", "_hour"))
-    sums = keyed.groupingSets([[user, period], [user, period, date], [user, period, hour]], USER, "period", "_date", "_hour").agg(
-        F.sum("energy_kwh").alias("_sum"), F.avg("energy_kwh").alias("_mean")
-    )
-    by_day, by_hour = date.isNotNull(), hour.isNotNull()
-    return sums.select(
-        USER, "period",
-        F.when(by_day, "daily").when(by_hour, "hourly").otherwise("total").alias("section"),
-        F.when(by_day, date.cast("string")).when(by_hour, F.format_string("%02d:00", hour)).otherwise(period).alias("label"),
-        F.when(by_hour, F.col("_mean")).otherwise(F.col("_sum")).alias("energy_kwh"),
-    ).withColumn("cost", flat_cost(F.col("energy_kwh"), rate))
+def dashboard_month(merged: DataFrame, catalog: DataFrame, requests: DataFrame, rate: float = FLAT_RATE_PER_KWH) -> DataFrame:
+    """Month dashboard in long form: total, totals by day, means by hour of day, each with its flat-rate cost.
+
+    `merged`: output of `merge_uploads`, whose hours lie in the spans of the catalog. Covered hours without a reading are zero:
+    they make days appear and means smaller, and are counted from the ends of covered runs, never made. A request for a month that
+    no upload covers shows the user's latest month; a user without uploads has no dashboard.
+    """
+    cover = covered_hours(catalog)
+    latest = _dated(catalog).groupBy(USER).agg(F.date_format(F.max("end_timestamp"), "yyyy-MM").alias("latest_period"))
+    shown = resolve_periods(cover.select(USER, F.col("month").alias("period")).distinct(), latest, requests)
+    wanted = shown.select(USER, "period").distinct()
+
+    def cell(section: str, label: Column, hours: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), label.alias("label"), hours.cast("long").alias("_n"))
+
+    first, last = F.col("_first"), F.col("_last")
+    of_day = lambda k: F.floor((last - k) / 24) - F.floor((first - 1 - k) / 24)
+    days = F.transform(F.sequence(F.floor(first / 24).cast("int"), F.floor(last / 24).cast("int")), lambda d: cell(
+        "daily", F.date_from_unix_date(d).cast("string"), F.lit(0)))
+    hours = F.filter(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: cell(
+        "hourly", F.format_string("%02d:00", k), of_day(k))), lambda c: c["_n"] > 0)
+    total = F.array(cell("total", F.col("month"), F.lit(0)))
+    counted = cover.select(USER, F.col("month").alias("period"), F.inline(F.concat(total, days, hours))).withColumn("_sum", F.lit(0.0))
+    read = merged.select(
+        USER, F.date_format("ts", "yyyy-MM").alias("period"), F.col("energy_kwh").alias("_sum"), F.inline(F.array(
+            cell("total", F.date_format("ts", "yyyy-MM"), F.lit(0)), cell("daily", F.to_date("ts").cast("string"), F.lit(0)),
+            cell("hourly", F.date_format("ts", "HH:00"), F.lit(0)),
+        )))
+    # Only months that are shown; both sides are reduced to one row for each label before the asked months are attached.
+    cells = counted.unionByName(read).join(wanted, [USER, "period"], "left_semi").groupBy(USER, "period", "section", "label").agg(
+        F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    energy = F.when(F.col("section") == "hourly", F.col("_sum") / F.col("_n")).otherwise(F.col("_sum"))
+    return cells.join(shown, [USER, "period"]).select(
+        USER, "asked_period", "period", "section", "label", energy.alias("energy_kwh")).withColumn("cost", flat_cost(F.col("energy_kwh"), rate))
 
 
 def dashboard_year(totals: DataFrame, latest: DataFrame, requests: DataFrame) -> DataFrame:

@@ -124,7 +124,8 @@ def event_requests(t: Tables) -> DataFrame:
 SELECT c.user_id, strftime(u.ts, '%Y-%m') AS period, u.ts, avg(u.energy_kwh) AS energy_kwh
 FROM euploads u JOIN ecatalog c ON c.id = u.id GROUP BY 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    return h.user_period_data(t.event_uploads(), t.event_catalog(), event_requests(t))
+    catalog = t.event_catalog()
+    return h.user_period_data(h.merge_uploads(t.readings("user_id").drop("k"), catalog, scale=9), catalog, event_requests(t))
 
 
 @query("j7_merged_readings", needs="merged", digits=5, doubles="energy_kwh", sql="SELECT user_id, ts, energy_kwh FROM merged")
@@ -223,12 +224,19 @@ def _(t: Tables) -> DataFrame:
 , m AS (SELECT c.user_id, strftime(u.ts, '%Y-%m') AS period, u.ts, avg(u.energy_kwh) AS kwh FROM euploads u JOIN ecatalog c ON c.id = u.id GROUP BY 1, 2, 3),
 d AS (SELECT user_id, period, 'total' AS section, period AS label, sum(kwh) AS energy_kwh FROM m GROUP BY 1, 2
   UNION ALL SELECT user_id, period, 'daily', strftime(ts, '%Y-%m-%d'), sum(kwh) FROM m GROUP BY 1, 2, 4
-  UNION ALL SELECT user_id, period, 'hourly', strftime(ts, '%H:00'), avg(kwh) FROM m GROUP BY 1, 2, 4)
-SELECT *, energy_kwh * 7.0 AS cost FROM d""")
+  UNION ALL SELECT user_id, period, 'hourly', strftime(ts, '%H:00'), avg(kwh) FROM m GROUP BY 1, 2, 4),
+asked AS (SELECT DISTINCT user_id, strftime(ts, '%Y-%m') AS asked_period FROM events
+  UNION SELECT user_id, strftime(ts + INTERVAL 1 YEAR, '%Y-%m') FROM events),
+l AS (SELECT user_id, strftime(max(end_timestamp), '%Y-%m') AS latest FROM ecatalog GROUP BY 1),
+shown AS (SELECT a.user_id, asked_period, CASE WHEN h.period IS NULL THEN latest ELSE h.period END AS period FROM asked a JOIN l USING (user_id)
+  LEFT JOIN (SELECT DISTINCT user_id, period FROM m) h ON h.user_id = a.user_id AND h.period = asked_period)
+SELECT s.user_id, asked_period, s.period, section, label, energy_kwh, energy_kwh * 7.0 AS cost
+FROM shown s JOIN d ON d.user_id = s.user_id AND d.period = s.period""")
 def _(t: Tables) -> DataFrame:
-    asked = event_requests(t)
-    merged = h.user_period_data(t.event_uploads(), t.event_catalog(), asked).drop("period")
-    return h.dashboard_month(merged, asked)
+    catalog, asked = t.event_catalog(), event_requests(t)
+    later = t.events().select("user_id", F.date_format(F.add_months("ts", 12), "yyyy-MM").alias("period")).distinct()
+    merged = h.merge_uploads(t.readings("user_id").drop("k"), catalog, scale=9)
+    return h.dashboard_month(merged, catalog, asked.unionByName(later))
 
 
 @query("g10_dashboard_year", needs="totals latest", digits=5, doubles="consumption_kwh cost peak_consumption", sql="""

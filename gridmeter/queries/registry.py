@@ -94,14 +94,6 @@ class Tables:
             "start_timestamp", "end_timestamp",
         )
 
-    def event_uploads(self) -> DataFrame:
-        """Zero-filled hourly series of those uploads."""
-        rows = self.events().select(
-            F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("series_id"), "ts",
-            F.col("value").alias("energy_kwh"),
-        )
-        return hourly_zero_filled(rows, scale=9).withColumnRenamed("series_id", "id")
-
 
 # Named building blocks of the SQL counterparts, each with the blocks it needs.
 CTES: dict[str, tuple[tuple[str, ...], str]] = {

@@ -6,7 +6,6 @@ import random
 import pytest
 
 from gridmeter.operators import households as h
-from gridmeter.operators.rollup import hourly_zero_filled
 
 CATALOG = "id string, user_id long, start_timestamp timestamp, end_timestamp timestamp"
 
@@ -15,25 +14,69 @@ def ts(text):
     return dt.datetime.fromisoformat(text)
 
 
-def test_sparse_merge_equals_dense_merge(spark):
-    rng = random.Random(2)
-    rows = []
+def random_uploads(spark, seed=2):
+    """Readings and catalog of overlapping uploads, and the plain answer: every covered hour of a user with its mean over uploads."""
+    rng = random.Random(seed)
+    rows, uploads = [], {}
     for user in (1, 2, 3):
         for upload in range(4):
-            first = ts("2024-01-01") + dt.timedelta(hours=rng.randint(0, 200))
-            for _ in range(rng.randint(1, 25)):
-                rows.append((f"{user}-{upload}", user, first + dt.timedelta(minutes=rng.randint(0, 9000)), float(rng.randint(0, 9))))
+            first = ts("2024-01-25") + dt.timedelta(hours=rng.randint(0, 900))
+            stamps = [first + dt.timedelta(minutes=rng.randint(0, 9000)) for _ in range(rng.randint(1, 25))]
+            uploads[user, upload] = [(t, float(rng.randint(0, 9))) for t in stamps]
+            rows += [(f"{user}-{upload}", user, t, v) for t, v in uploads[user, upload]]
     readings = spark.createDataFrame(rows, "id string, user_id long, ts timestamp, energy_kwh double")
-    catalog = readings.groupBy("id", "user_id").agg({"ts": "min", "*": "count"}).drop("count(1)").withColumnRenamed("min(ts)", "start_timestamp")
-    ends = readings.groupBy("id").agg({"ts": "max"}).withColumnRenamed("max(ts)", "end_timestamp")
-    catalog = catalog.join(ends, "id")
-    sparse = {(r.user_id, r.ts): r.energy_kwh for r in h.merge_uploads(readings, catalog).collect()}
-    requests = spark.createDataFrame([(u, "2024") for u in (1, 2, 3)], "user_id long, period string")
-    hourly = hourly_zero_filled(readings.withColumnRenamed("id", "series_id")).withColumnRenamed("series_id", "id")
-    dense = {(r.user_id, r.ts): r.energy_kwh for r in h.user_period_data(hourly, catalog, requests).collect()}
+    spans = [(f"{u}-{n}", u, min(r)[0], max(r)[0]) for (u, n), r in uploads.items()]
+    catalog = spark.createDataFrame(spans + [("lost", 1, None, None)], CATALOG)
+    hours = {}
+    for (user, _), read in uploads.items():
+        hour = min(read)[0].replace(minute=0)
+        while hour <= max(read)[0]:
+            hours.setdefault((user, hour), []).append(sum(v for t, v in read if t.replace(minute=0) == hour))
+            hour += dt.timedelta(hours=1)
+    return readings, catalog, {k: sum(v) / len(v) for k, v in hours.items()}
+
+
+@pytest.mark.parametrize("seed", [2, 5])
+def test_merged_and_covered_hours_equal_the_dense_merge(spark, seed):
+    readings, catalog, dense = random_uploads(spark, seed)
+    merged = h.merge_uploads(readings, catalog)
+    sparse = {(r.user_id, r.ts): r.energy_kwh for r in merged.collect()}
     assert set(sparse) <= set(dense) and len(dense) > len(sparse)
     for key, value in dense.items():
         assert sparse.get(key, 0.0) == pytest.approx(value)
+    requests = spark.createDataFrame([(1, "2024"), (2, "2024"), (3, "2024-02"), (3, "2024-02"), (2, "never")], "user_id long, period string")
+    got = {(r.user_id, r.ts): r.energy_kwh for r in h.user_period_data(merged, catalog, requests).collect()}
+    assert got == {k: pytest.approx(v) for k, v in dense.items() if k[0] != 3 or k[1].month == 2}
+
+
+def test_covered_runs_and_months_equal_a_plain_union(spark):
+    rng = random.Random(9)
+    spans = [(rng.randint(1, 3), f, f + rng.randint(-1, 6)) for f in (rng.randint(-40, 60) for _ in range(60))]
+    runs = h.covered_runs(spark.createDataFrame(spans, "user_id long, _first long, _last long")).collect()
+    got = [(r.user_id, x) for r in runs for x in range(r._first, r._last + 1)]
+    assert len(got) == len(set(got)) and set(got) == {(u, x) for u, a, b in spans for x in range(a, b + 1)}
+    edges = {(r.user_id, r._first) for r in runs}
+    assert not any((r.user_id, r._last + 1) in edges for r in runs)  # runs that touch are one
+    _, catalog, dense = random_uploads(spark)
+    months = [(r.user_id, r.month) for r in h.covered_months(catalog).collect()]
+    assert sorted(months) == sorted({(u, t.strftime("%Y-%m")) for u, t in dense})
+
+
+def test_month_dashboard_counts_zero_hours_without_making_them(spark):
+    readings, catalog, dense = random_uploads(spark)
+    asked = [(u, m) for u in (1, 2, 3, 4) for m in ("2024-01", "2024-02", "2024-03", "1999-12")]
+    result = h.dashboard_month(h.merge_uploads(readings, catalog), catalog, spark.createDataFrame(asked, "user_id long, period string"))
+    got = {(r.user_id, r.asked_period, r.period, r.section, r.label): r.energy_kwh for r in result.collect()}
+    expected = {}
+    for user, month in asked:
+        having = sorted({t.strftime("%Y-%m") for u, t in dense if u == user})
+        period = month if month in having else having[-1] if having else None
+        rows = [(t, v) for (u, t), v in dense.items() if u == user and t.strftime("%Y-%m") == period]
+        for section, style, mean in (("total", "%Y-%m", False), ("daily", "%Y-%m-%d", False), ("hourly", "%H:00", True)):
+            for label in {t.strftime(style) for t, _ in rows}:
+                values = [v for t, v in rows if t.strftime(style) == label]
+                expected[user, month, period, section, label] = sum(values) / len(values) if mean else sum(values)
+    assert got == {k: pytest.approx(v) for k, v in expected.items()}
 
 
 def test_overlap_counts_each_pair_once(spark):
