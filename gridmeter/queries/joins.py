@@ -10,6 +10,7 @@ from gridmeter.operators.rollup import index_report
 from gridmeter.operators.bills import bill_comparison, bills_newest_first
 from gridmeter.queries.registry import Tables, query
 from gridmeter.queries.scalars import bill_dates
+from gridmeter.session import cut_lineage
 from gridmeter.sources import catalog_select
 
 
@@ -248,10 +249,11 @@ SELECT s.user_id, s.asked_period, s.period, t.period AS month, t.consumption_kwh
 FROM shown s JOIN totals t ON t.user_id = s.user_id AND length(t.period) = 7 AND s.period IN (t.period, substr(t.period, 1, 4))
 WINDOW w AS (PARTITION BY s.user_id, s.asked_period)""")
 def _(t: Tables) -> DataFrame:
-    totals = h.period_totals(h.merge_uploads(t.upload_readings(), t.catalog(), scale=9), t.catalog())
+    catalog = cut_lineage(t.catalog())
+    totals = cut_lineage(h.period_totals(h.merge_uploads(t.upload_readings(), catalog, scale=9), catalog))
     following = F.date_format(F.add_months("o_orderdate", 12), "yyyy").alias("period")
     asked = t.table("orders").select(F.col("o_custkey").alias("user_id"), following)
-    return h.dashboard_year(totals, h.user_periods(t.catalog()), asked)
+    return h.dashboard_year(totals, h.user_periods(catalog), asked)
 
 
 @query("g11_cost_analytics", needs="totals listed", digits=5, doubles="total_cost total_consumption average_monthly_cost highest_cost lowest_cost", sql="""
