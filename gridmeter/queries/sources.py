@@ -7,7 +7,7 @@ from gridmeter.operators.uploads import validate_uploads
 from gridmeter.queries.registry import Tables, query
 from gridmeter.session import shared_folder
 from gridmeter.sources import (
-    catalog_append, catalog_delete, catalog_select, forecast_for_horizon, parse_meter_lines, parse_user_lines,
+    StoredCatalog, catalog_append, forecast_for_horizon, parse_meter_lines, parse_user_lines,
     read_records, read_stage, read_user_csv, sql, view, write_csv, write_json, write_stage,
 )
 
@@ -120,11 +120,18 @@ def _(t: Tables) -> DataFrame:
     return forecast_for_horizon(t.predictions(), 24)
 
 
+def stored(t: Tables, rows: DataFrame) -> StoredCatalog:
+    """A stored catalog of these rows, written as its first batch."""
+    store = StoredCatalog(t.spark, shared_folder(t.spark, "catalog"), rows.schema)
+    store.append(rows, 1)
+    return store
+
+
 @query("s8_catalog_select", needs="catalog", sql="""
 SELECT id, user_id, start_timestamp, end_timestamp FROM catalog WHERE validation_status = 'VALID'""")
 def _(t: Tables) -> DataFrame:
-    return catalog_select(
-        t.catalog(), {"validation_status": "VALID"}, ["id", "user_id", "start_timestamp", "end_timestamp"],
+    return stored(t, t.catalog()).select(
+        {"validation_status": "VALID"}, ["id", "user_id", "start_timestamp", "end_timestamp"],
         [F.desc("created_at"), "id"],
     )
 
@@ -213,16 +220,16 @@ def _(t: Tables) -> DataFrame:
     size = F.sum(F.length(F.coalesce("timestamp", F.lit(""))) + F.length("energy_consumption"))
     files = rows.groupBy("upload_id", "user_id").agg(size.alias("file_size")).withColumn(
         "file_name", F.concat("upload_id", F.lit(".csv")))
-    return catalog_append(files, validate_uploads(rows))
+    return stored(t, catalog_append(files, validate_uploads(rows))).snapshot()
 
 
 @query("s10_catalog_delete", needs="catalog", sql="""
 SELECT c.id, c.user_id, CASE WHEN k.c_custkey IS NULL THEN 'kept' ELSE 'deleted' END AS outcome
 FROM catalog c LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') k ON c.user_id = k.c_custkey""")
 def _(t: Tables) -> DataFrame:
-    catalog = t.catalog()
+    store = stored(t, t.catalog())
     leaving = t.table("customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
-    keys = catalog.join(leaving, "user_id").select("id", "user_id")
-    kept, deleted = catalog_delete(catalog, keys)
+    deleted = store.delete(store.snapshot().join(leaving, "user_id"), 2)
+    kept = store.snapshot()
     return kept.select("id", "user_id", F.lit("kept").alias("outcome")).unionByName(
         deleted.select("id", "user_id", F.lit("deleted").alias("outcome")))
