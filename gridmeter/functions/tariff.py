@@ -43,11 +43,11 @@ def tou_rate(hour: Column, tariff: Tariff = DEFAULT_TARIFF) -> Column:
 def with_rate_table(df: DataFrame, rates: DataFrame, ts: str = "ts") -> DataFrame:
     """Price rows with a user-supplied table (hour, tou_period, rate).
 
-    Grouping by an hour restricted to 0-23 bounds the table at 24 rows, so it can be broadcast.
+    Grouping by an hour restricted to 0-23 bounds the table at 24 rows; Spark broadcasts it when it sees its size.
     """
     table = (
         rates.filter(F.col("hour").between(0, 23))
         .groupBy(F.col("hour").alias("_hour"))
         .agg(F.min("tou_period").alias("tou_period"), F.min("rate").alias("rate"))
     )
-    return df.withColumn("_hour", F.hour(ts)).join(F.broadcast(table), "_hour", "left").drop("_hour")
+    return df.withColumn("_hour", F.hour(ts)).join(table, "_hour", "left").drop("_hour")

@@ -23,6 +23,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = prepare(spark), folder
+        self._clean: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -43,7 +44,10 @@ class Tables:
         return complete_index(cut_lineage(self.hourly(series)))
 
     def clean(self, series: str = "event_type") -> DataFrame:
-        return cut_lineage(clean_hourly(self.hourly(series), scale=9))
+        """Settled once for all uses within a query."""
+        if series not in self._clean:
+            self._clean[series] = cut_lineage(clean_hourly(self.hourly(series), scale=9))
+        return self._clean[series]
 
     def zero_filled(self, series: str = "user_id") -> DataFrame:
         return hourly_zero_filled(self.readings(series), scale=9)
