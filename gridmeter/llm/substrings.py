@@ -101,9 +101,10 @@ def packs(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFram
 
     `rest` holds the columns `carry` as an Arrow stream.
     """
+    filler = "_" + max(carry, key=len, default="")  # longer than every name of `carry`, so none of them
     rows = docs.select(
         F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.spark_partition_id().cast("long").alias("task"), F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry]).alias("rest"),
+        F.spark_partition_id().cast("long").alias("task"), F.struct(F.lit(0).alias(filler), *[F.col(c) for c in carry]).alias("rest"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -270,6 +270,35 @@ def test_line_quality_of_odd_rows(spark, odd_rows):
     assert lines.line_quality(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed,limits", [(1, lines.Limits(documents=3, share=0.0)), (2, lines.Limits(documents=1, share=0.1, left_words=5, left_share=0.6))])
+def test_frequent_lines_equal_a_plain_count_over_random_hosts(spark, seed, limits):
+    rng = random.Random(seed)
+    pool = [" ".join(prose(rng, rng.randrange(1, 9))) for _ in range(14)]
+    rows = []
+    for i in range(90):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else " ".join(prose(rng, rng.randrange(1, 12), 5000)) for _ in range(rng.randrange(0, 9))]
+        parts = [x.upper() if rng.random() < 0.2 else f"  {x.replace(' ', '  ')}" if rng.random() < 0.2 else x for x in parts]
+        rows.append((i, "\n".join(parts), "en", rng.choice(["a", "a", "a", "b", None])))
+    plain = lambda x: " ".join(WORD.findall(x)).lower()
+    holders, in_host = {}, {}
+    for i, text, _, host in rows:
+        in_host[host] = in_host.get(host, 0) + 1
+        for x in text.split("\n"):
+            holders.setdefault((host, plain(x)), set()).add(i)
+    often = {k for k, ids in holders.items() if len(ids) > limits.documents and len(ids) > limits.share * in_host[k[0]] and k[1]}
+    assert often
+    found = {r.doc_id: r for r in lines.line_quality(table(spark, rows), limits=limits).collect()}
+    verdicts = set()
+    for i, text, _, host in rows:
+        total = len(WORD.findall(text))
+        left = total - sum(len(plain(x).split()) for x in text.split("\n") if (host, plain(x)) in often)
+        assert found[i].n_words_left == left
+        depleted = left < limits.left_words or left < limits.left_share * total
+        assert found[i].kept == (not found[i].base_failed and not depleted)
+        verdicts.add((found[i].base_failed, depleted))
+    assert {(False, False), (False, True)} <= verdicts
+
+
 # 4 fingerprints
 
 
@@ -312,6 +341,9 @@ def test_passages_equal_brute_force(spark, odd_rows, monkeypatch):
     assert key(map(tuple, found.collect())) == key(brute_passages(odd_rows))
     monkeypatch.setattr(substrings, "PACK", 2000)
     assert key(map(tuple, substrings.remove_repeats(table(spark, odd_rows).repartition(5)).collect())) == key(brute_passages(odd_rows))
+    clash = table(spark, odd_rows).withColumns({"none": F.lit(1), "_none": F.lit(2), "rest": F.lit(3)})
+    assert substrings.remove_repeats(clash, texts=True).columns == clash.columns
+    assert substrings.remove_repeats(clash, texts=True).agg(F.sum("none"), F.sum("_none"), F.sum("rest")).first()[1] > 0
     assert substrings.remove_repeats(table(spark, odd_rows).limit(0)).count() == 0
 
 
