@@ -87,6 +87,17 @@ def seasonal_ar_predict(rows: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
+def seasonal_ar_day_ahead(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Predictions made 24 hours before, without a recursion: y - Phi*y[24] is a plain AR(1), which fades by phi^24 in a day."""
+    phi, seasonal = F.col("phi"), F.col("seasonal")
+    day = F.col("lag_24")
+    faded = F.pow(phi, F.lit(24.0)) * (day - seasonal * F.col("lag_48"))
+    return rows.join(params.select(S, "phi", "seasonal"), S).select(
+        S, TS, F.col(E).alias("actual"), (seasonal * day + faded).alias("predicted"), F.lit(24).alias("horizon"),
+        F.lit("SARIMA_24h").alias("model"),
+    )
+
+
 def seasonal_ar_forecast(history: DataFrame, params: DataFrame, steps: int = 24) -> DataFrame:
     """Forecast `steps` hours past the end of each series from its last 25 values."""
     tail = _last_values(history, 25)

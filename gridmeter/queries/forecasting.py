@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridmeter.operators import boosting
 from gridmeter.operators import features as f
 from gridmeter.operators import forecast as fc
+from gridmeter.operators.arlikelihood import seasonal_ar_likelihood
 from gridmeter.operators.boosting import BoostedTrees
 from gridmeter.operators.forest import train_forest
 from gridmeter.operators.quality import null_counts
@@ -34,14 +35,30 @@ params AS (WITH RECURSIVE r AS (
 """
 
 
-def _ar_rows(t: Tables) -> DataFrame:
-    return f.with_lags(t.clean().select("series_id", "ts", "energy_kwh"), fc.AR_LAGS)
-
-
-def _ar_part(t: Tables, part: str) -> DataFrame:
+def _ar_part(t: Tables, part: str, lags: list[int] = fc.AR_LAGS) -> DataFrame:
     """Rows of one part of the chronological split."""
     split = split_rows(t).filter(F.col("split") == part).select("series_id", "ts")
-    return _ar_rows(t).join(split, ["series_id", "ts"], "left_semi")
+    rows = f.with_lags(t.clean().select("series_id", "ts", "energy_kwh"), lags)
+    return rows.join(split, ["series_id", "ts"], "left_semi")
+
+
+def evaluated(t: Tables) -> DataFrame:
+    """Predictions of the test hours: naive and seasonal AR, both horizons."""
+    rows = cut_lineage(_ar_part(t, "test", [*fc.AR_LAGS, 48]))
+    params = cut_lineage(_ar_params(t))
+    return fc.naive(rows).unionByName(fc.seasonal_ar_predict(rows, params)).unionByName(fc.seasonal_ar_day_ahead(rows, params))
+
+
+EVALUATED_SQL = AR_SQL + """
+, kept AS (SELECT l.*, lag(y, 48) OVER (PARTITION BY series_id ORDER BY ts) AS e FROM lagged l),
+tested AS (SELECT k.*, p.phi, p.seasonal FROM kept k JOIN split s USING (series_id, ts) LEFT JOIN params p USING (series_id) WHERE s.split = 'test'),
+models AS (SELECT * FROM (
+  SELECT series_id, ts, 1 AS horizon, y AS actual, a AS predicted, 'Naive' AS model FROM tested UNION ALL
+  SELECT series_id, ts, 24, y, b, 'Naive' FROM tested UNION ALL
+  SELECT series_id, ts, 1, y, phi * a + seasonal * b - phi * seasonal * c, 'SARIMA' FROM tested UNION ALL
+  SELECT series_id, ts, 24, y, seasonal * b + phi ** 24 * (b - seasonal * e), 'SARIMA' FROM tested)
+  WHERE actual IS NOT NULL AND predicted IS NOT NULL)
+"""
 
 
 def _ar_params(t: Tables) -> DataFrame:
@@ -75,6 +92,21 @@ def _(t: Tables) -> DataFrame:
     return fc.seasonal_ar_forecast(t.clean(), _ar_params(t))
 
 
+def _ar_likelihood(t: Tables) -> DataFrame:
+    return seasonal_ar_likelihood(_ar_part(t, "train"))
+
+
+@query("m2_likelihood_fit", digits=4)
+def _(t: Tables) -> DataFrame:
+    return _ar_likelihood(t)
+
+
+@query("m2_likelihood_predict", digits=4)
+def _(t: Tables) -> DataFrame:
+    params = cut_lineage(_ar_likelihood(t))
+    return fc.seasonal_ar_predict(_ar_part(t, "test"), params).join(params.select("series_id", "status"), "series_id")
+
+
 def training_rows(t: Tables) -> tuple[DataFrame, list[str]]:
     """Basic features labelled by chronological split, and the columns a model may use."""
     split = cut_lineage(chronological_split(t.features()))

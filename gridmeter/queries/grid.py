@@ -9,7 +9,8 @@ from gridmeter.operators.evaluate import (
     full_metrics, peak_metrics, regression_metrics, residual_histogram, residuals, select_model,
 )
 from gridmeter.operators.stats import percentiles
-from gridmeter.queries.joins import MODELS_SQL, model_predictions
+from gridmeter.queries.forecasting import evaluated
+from gridmeter.queries.joins import MODELS_SQL
 from gridmeter.queries.registry import Tables, query
 
 
@@ -18,27 +19,27 @@ def _(t: Tables) -> DataFrame:
     return t.predictions()
 
 
-@query("m13_regression_metrics", needs="scored", digits=6, doubles="mae rmse mape r2", sql=MODELS_SQL + "SELECT * FROM metrics")
+@query("m13_regression_metrics", needs="clean", digits=6, doubles="mae rmse mape r2", sql=MODELS_SQL + "SELECT * FROM metrics")
 def _(t: Tables) -> DataFrame:
-    return regression_metrics(model_predictions(t))
+    return regression_metrics(evaluated(t))
 
 
 TOLERANCES = [5, 10, 15, 20, 25, 30, 40, 50]
 
 
-@query("m14_extended_metrics", needs="scored", digits=6, doubles="mae rmse mape r2 smape " + " ".join(f"acc_{x}" for x in TOLERANCES),
+@query("m14_extended_metrics", needs="clean", digits=6, doubles="mae rmse mape r2 smape " + " ".join(f"acc_{x}" for x in TOLERANCES),
        sql=MODELS_SQL + """
 SELECT series_id, model, horizon, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) ** 2)) AS rmse,
   avg(CASE WHEN actual > 1e-4 THEN abs((actual - predicted) / actual) END) * 100 AS mape,
-  1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) AS r2, count(*) AS n,
+  1 - sum((actual - predicted) ** 2) / nullif(var_pop(actual) * count(*), 0) AS r2, count(*) AS n,
   avg(CASE WHEN abs(actual) + abs(predicted) > 1e-4 THEN 2 * abs(actual - predicted) / (abs(actual) + abs(predicted)) END) * 100 AS smape, """
        + ", ".join(f"avg(CASE WHEN abs(actual - predicted) / greatest(abs(actual), 1e-4) <= {x} / 100.0::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS acc_{x}"
                    for x in TOLERANCES) + " FROM models GROUP BY 1, 2, 3")
 def _(t: Tables) -> DataFrame:
-    return full_metrics(model_predictions(t))
+    return full_metrics(evaluated(t))
 
 
-@query("m15_peak_classification", needs="scored p90", doubles="precision recall f1_score", sql=MODELS_SQL + """
+@query("m15_peak_classification", needs="clean p90", doubles="precision recall f1_score", sql=MODELS_SQL + """
 , c AS (SELECT series_id, model, horizon, count(*) FILTER (actual > p90 AND predicted > p90) AS tp, count(*) FILTER (actual <= p90 AND predicted > p90) AS fp,
   count(*) FILTER (actual > p90 AND predicted <= p90) AS fn FROM models JOIN p90 USING (series_id) GROUP BY 1, 2, 3),
 r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS recall FROM c)
@@ -46,10 +47,10 @@ SELECT series_id, model, horizon, tp AS true_positives, fp AS false_positives, f
        CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1_score FROM r""")
 def _(t: Tables) -> DataFrame:
     threshold = percentiles(t.clean(), {"threshold": 0.9})
-    return peak_metrics(model_predictions(t).join(threshold, "series_id"))
+    return peak_metrics(evaluated(t).join(threshold, "series_id"))
 
 
-@query("m16_model_selection", needs="scored", sql=MODELS_SQL + """
+@query("m16_model_selection", needs="clean", sql=MODELS_SQL + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY rmse, model) AS rn FROM metrics),
 b AS (SELECT series_id, max(model) FILTER (horizon = 1) AS b1, max(model) FILTER (horizon = 24) AS b24, max(mae) FILTER (horizon = 24) AS mae24
       FROM r WHERE rn = 1 GROUP BY 1)
@@ -57,7 +58,7 @@ SELECT b.series_id, coalesce(b24, b1) AS selected_model, b1 AS best_horizon_1_mo
        coalesce(n.mae > mae24, false) AS beats_naive
 FROM b LEFT JOIN metrics n ON n.series_id = b.series_id AND n.model = 'Naive' AND n.horizon = 24""")
 def _(t: Tables) -> DataFrame:
-    return select_model(regression_metrics(model_predictions(t)))
+    return select_model(regression_metrics(evaluated(t)))
 
 
 @query("m17_residuals", needs="scored", doubles="residual", sql="SELECT series_id, ts, model, horizon, actual - predicted AS residual FROM scored")

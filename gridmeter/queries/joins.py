@@ -8,6 +8,7 @@ from gridmeter.operators.evaluate import before_after, best_by, improvement_vs_n
 from gridmeter.operators.features import align_to
 from gridmeter.operators.rollup import index_report
 from gridmeter.operators.bills import bill_comparison, bills_newest_first
+from gridmeter.queries.forecasting import EVALUATED_SQL, evaluated
 from gridmeter.queries.registry import Tables, query
 from gridmeter.queries.scalars import bill_dates
 from gridmeter.session import cut_lineage
@@ -35,54 +36,43 @@ def _(t: Tables) -> DataFrame:
     return align_to(keys, t.clean().select("series_id", "ts", "energy_kwh", "avg_k"))
 
 
-def model_predictions(t: Tables) -> DataFrame:
-    """Three deterministic models over the cleaned series: naive, half of it plus ten, and nine tenths of it."""
-    naive = t.predictions()
-    blend = naive.withColumns({"predicted": F.col("predicted") * 0.5 + 10, "model": F.lit("Blend_x")})
-    scaled = naive.withColumns({"predicted": F.col("predicted") * 0.9, "model": F.lit("Scaled")})
-    return naive.unionByName(blend).unionByName(scaled)
-
-
-MODELS_SQL = """
-, models AS (SELECT series_id, ts, horizon, actual, predicted, model FROM scored UNION ALL
-  SELECT series_id, ts, horizon, actual, predicted * 0.5 + 10, 'Blend' FROM scored UNION ALL
-  SELECT series_id, ts, horizon, actual, predicted * 0.9, 'Scaled' FROM scored),
+MODELS_SQL = EVALUATED_SQL.rstrip() + """,
 metrics AS (SELECT series_id, model, horizon, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) ** 2)) AS rmse,
   avg(CASE WHEN actual > 1e-8 THEN abs((actual - predicted) / actual) END) * 100 AS mape,
-  1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) AS r2, count(*) AS prediction_count FROM models GROUP BY 1, 2, 3)
+  1 - sum((actual - predicted) ** 2) / nullif(var_pop(actual) * count(*), 0) AS r2, count(*) AS prediction_count FROM models GROUP BY 1, 2, 3)
 """
 
 
-@query("j3_improvement_vs_naive", needs="scored", digits=6, doubles="mae rmse mape r2 mae_improvement_vs_naive rmse_improvement_vs_naive "
+@query("j3_improvement_vs_naive", needs="clean", digits=6, doubles="mae rmse mape r2 mae_improvement_vs_naive rmse_improvement_vs_naive "
        "mape_improvement_vs_naive", sql=MODELS_SQL + """
 SELECT m.*, (n.mae - m.mae) / n.mae * 100 AS mae_improvement_vs_naive, (n.rmse - m.rmse) / n.rmse * 100 AS rmse_improvement_vs_naive,
        (n.mape - m.mape) / n.mape * 100 AS mape_improvement_vs_naive
 FROM metrics m JOIN metrics n ON n.model = 'Naive' AND n.series_id = m.series_id AND n.horizon = m.horizon""")
 def _(t: Tables) -> DataFrame:
-    return improvement_vs_naive(regression_metrics(model_predictions(t)))
+    return improvement_vs_naive(regression_metrics(evaluated(t)))
 
 
-@query("j4_before_after", needs="scored", digits=6, doubles="original_mae original_rmse original_r2 optimized_mae optimized_rmse optimized_r2",
+@query("j4_before_after", needs="clean", digits=6, doubles="original_mae original_rmse original_r2 optimized_mae optimized_rmse optimized_r2",
        sql=MODELS_SQL + """
 SELECT a.series_id, a.horizon, a.mae AS original_mae, a.rmse AS original_rmse, a.r2 AS original_r2, b.mae AS optimized_mae,
        b.rmse AS optimized_rmse, b.r2 AS optimized_r2
-FROM metrics a JOIN metrics b ON a.series_id = b.series_id AND a.horizon = b.horizon AND a.model = 'Naive' AND b.model = 'Blend'""")
+FROM metrics a JOIN metrics b ON a.series_id = b.series_id AND a.horizon = b.horizon AND a.model = 'Naive' AND b.model = 'SARIMA'""")
 def _(t: Tables) -> DataFrame:
-    metrics = regression_metrics(model_predictions(t))
-    return before_after(metrics.filter("model = 'Naive'"), metrics.filter("model = 'Blend'"))
+    metrics = regression_metrics(evaluated(t))
+    return before_after(metrics.filter("model = 'Naive'"), metrics.filter("model = 'SARIMA'"))
 
 
-@query("o4_best_model", needs="scored", digits=6, doubles="best_rmse", sql=MODELS_SQL + """
+@query("o4_best_model", needs="clean", digits=6, doubles="best_rmse", sql=MODELS_SQL + """
 SELECT series_id, horizon, model AS best_model, rmse AS best_rmse FROM (
   SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY rmse, model) AS rn FROM metrics) WHERE rn = 1""")
 def _(t: Tables) -> DataFrame:
-    return best_by(regression_metrics(model_predictions(t)), ["series_id", "horizon"])
+    return best_by(regression_metrics(evaluated(t)), ["series_id", "horizon"])
 
 
-@query("u1_union_predictions", needs="scored", doubles="actual predicted", sql=MODELS_SQL + """
+@query("u1_union_predictions", needs="clean", doubles="actual predicted", sql=MODELS_SQL + """
 SELECT series_id, model, horizon, count(*) AS n_rows, avg(actual) AS actual, avg(predicted) AS predicted FROM models GROUP BY 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    rows = model_predictions(t).filter("actual IS NOT NULL AND predicted IS NOT NULL")
+    rows = evaluated(t).filter("actual IS NOT NULL AND predicted IS NOT NULL")
     return rows.groupBy("series_id", F.substring_index("model", "_", 1).alias("model"), "horizon").agg(
         F.count("*").alias("n_rows"), F.avg("actual").alias("actual"), F.avg("predicted").alias("predicted"))
 
