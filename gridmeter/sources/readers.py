@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridmeter.sources.user_files import UserFiles
+
 # Layout of the public one-minute household meter log.
 METER_LOG_MEASURES = [
     "Global_active_power", "Global_reactive_power", "Voltage", "Global_intensity",
@@ -40,37 +43,19 @@ def _null_words(col: Column) -> Column:
 
 
 def read_user_csv(spark: SparkSession, path: str | list[str], upload_pattern: str = UPLOAD_PATTERN) -> DataFrame:
-    """Scan user reading files, every value as text, each file by its own header line.
+    """Scan user reading files once, every value as text, each file by its own header line.
 
-    Files come from many users, so columns may be in any order, missing, or accompanied by others; a plain CSV scan
-    would apply the header of one file to all. Here each line is paired with the header of its file. `upload_pattern`
-    takes the upload id out of the file path. Column `header` lists the columns the file has.
+    Files come from many users, so columns may be in any order, missing, or accompanied by others, and quoted cells may hold
+    line ends. `upload_pattern` takes the upload id out of the file path. Column `header` lists the columns the file has.
+    Blank lines are skipped, of repeated names the first counts, short rows give nulls, and a file of a header alone gives no row.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"), "value",
-    ).filter(F.trim("value") != "")
-    headers = lines.filter(F.col("_block") == 0).groupBy("_file").agg(
-        F.min_by("value", "_line").alias("_header"), F.min("_line").alias("_first")
-    )
-    width = headers.agg(F.max(F.size(F.split("_header", ",")))).first()[0] or 1
-    schema = ", ".join(f"c{i} string" for i in range(width))
-
-    def cells(line: str) -> Column:
-        row = F.from_csv(F.col(line), schema, {"mode": "PERMISSIVE"})
-        return F.array(*[row[f"c{i}"] for i in range(width)])
-
-    named = headers.select(
-        "_file", "_first", F.filter(F.transform(cells("_header"), F.trim), lambda c: c.isNotNull()).alias("header")
-    )
-    rows = lines.join(named, "_file").filter(F.col("_line") != F.col("_first")).select(
-        F.regexp_extract("_file", upload_pattern, 1).alias("upload_id"), "header", cells("value").alias("_cells"),
+    spark.dataSource.register(UserFiles)
+    paths = [path] if isinstance(path, str) else list(path)
+    rows = spark.read.format(UserFiles.name()).option("paths", json.dumps(paths)).load()
+    return rows.select(
+        F.regexp_extract("file", upload_pattern, 1).alias("upload_id"),
+        *[_null_words(F.col(c)).alias(c) for c in ("timestamp", "energy_consumption")], "header",
     )
-    values = {
-        c: _null_words(F.get("_cells", (F.array_position("header", c) - 1).cast("int")))
-        for c in ("timestamp", "energy_consumption")
-    }
-    return rows.select("upload_id", *[v.alias(c) for c, v in values.items()], "header")
 
 
 def parse_user_lines(lines: DataFrame, line: str = "line") -> DataFrame:
