@@ -11,6 +11,7 @@ from gridmeter.operators.chunks import chunk_window, gather, hour_index, spread
 from gridmeter.session import cut_lineage
 
 PERCENTILE_BUCKETS = 64
+BUCKET_VALUES = 1_000_000
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Mapping[str, float]) -> DataFrame:
@@ -18,43 +19,84 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Mappin
 
     The built-in `percentile` gathers all distinct values of a group in one buffer. Here equal values are counted first,
     a sketch proposes cut points, counts per bucket tell which buckets hold the wanted ranks, and only those few
-    buckets are sorted. The sketch steers the split only; the result is exact.
+    buckets are kept. They are cut again until none holds more than `BUCKET_VALUES` different values, and then sorted. The
+    sketch steers the split only; the result is exact.
     """
-    keys = list(keys)
-    v = F.col(value)
+    keys, v = list(keys), F.col(value)
     counted = cut_lineage(df.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
-    steps = F.array(*[F.lit(i / PERCENTILE_BUCKETS) for i in range(1, PERCENTILE_BUCKETS)])
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
-    tagged = counted.join(cuts, keys).select(
-        *keys, value, "_n", F.size(F.filter("_cuts", lambda cut: cut < v)).alias("_bucket"),
-    )
-    whole = Window.partitionBy(*keys)
-    totals = tagged.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in"))
-    ranked = totals.select(
-        *keys, "_bucket", "_in",
-        (F.sum("_in").over(whole.orderBy("_bucket")) - F.col("_in")).alias("_before"),
-        F.sum("_in").over(whole).alias("_total"),
-    )
-    ranks = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in ps.items()}
-    wanted = F.array(*[edge(r) for r in ranks.values() for edge in (F.floor, F.ceil)])
-    needed = ranked.filter(
-        F.exists(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    placed = tagged.join(needed, [*keys, "_bucket"]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    part = counted.join(counted.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys).withColumn("_before", F.lit(0).cast("long"))
+    group, points = [*keys, "_before"], [float(p) for p in ps.values()]
+    held = counted.count()
+    while True:
+        needed = _needed_buckets(part, group, value, points)
+        part = needed.select(*keys, value, "_n", "_total", F.col("_next").alias("_before"))
+        # A bucket holds about one in 64 values of its group, so few values in all need no look at the largest one.
+        if held <= PERCENTILE_BUCKETS // 2 * BUCKET_VALUES:
+            break
+        part = cut_lineage(part)
+        held = PERCENTILE_BUCKETS // 2 * (part.groupBy(*group).count().agg(F.max("count")).first()[0] or 0)
+        if held <= PERCENTILE_BUCKETS // 2 * BUCKET_VALUES:
+            break
+    inside = Window.partitionBy(*group).orderBy(value)
+    placed = part.withColumn("_end", F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), v))
 
     aggs = []
-    for name, r in ranks.items():
+    for name, r in zip(ps, _ranks(points)):
         low, high = at(F.floor(r)), at(F.ceil(r))
         aggs.append((low + (high - low) * F.max(r - F.floor(r))).alias(name))
     return placed.groupBy(*keys).agg(*aggs)
 
 
+def _ranks(points: Sequence[float]) -> list[Column]:
+    return [(F.col("_total") - 1) * F.lit(p) for p in points]
+
+
+def _needed_buckets(part: DataFrame, group: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
+    """Rows of the buckets that hold a wanted rank; `_next` is the number of readings below the bucket."""
+    v = F.col(value)
+    steps = F.array(*[F.lit(i / PERCENTILE_BUCKETS) for i in range(1, PERCENTILE_BUCKETS)])
+    cuts = part.groupBy(*group).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
+    tagged = part.join(cuts, list(group)).withColumn("_bucket", F.size(F.filter("_cuts", lambda cut: cut < v))).drop("_cuts")
+    totals = tagged.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
+    running = F.sum("_in").over(Window.partitionBy(*group).orderBy("_bucket"))
+    ranked = totals.withColumn("_next", F.col("_before") + running - F.col("_in"))
+    wanted = F.array(*[edge(r) for r in _ranks(points) for edge in (F.floor, F.ceil)])
+    inside = F.exists(wanted, lambda r: (r >= F.col("_next")) & (r < F.col("_next") + F.col("_in")))
+    return tagged.join(ranked.filter(inside).select(*group, "_bucket", "_next"), [*group, "_bucket"])
+
+
+# --- sketches that merge -----------------------------------------------------------------------------------------
+SKETCH_SIZE = 1600
+SKETCH_RANK_ERROR = 0.01
+
+
+def daily_sketches(df: DataFrame, value: str = "energy_kwh", series: str = "series_id", ts: str = "ts") -> DataFrame:
+    """One quantile sketch per series and day, to be kept beside the stage tables; a task sends sketches, never readings.
+
+    Nulls are left out; a day without a known value has no row. Sketches draw at random, so estimates differ between runs
+    within the rank error; sets of up to `SKETCH_SIZE` values are exact.
+    """
+    day = F.to_date(ts).alias("date")
+    return df.filter(F.col(value).isNotNull()).groupBy(series, day).agg(
+        F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_SIZE).alias("sketch"),
+    )
+
+
+def sketch_percentiles(sketches: DataFrame, keys: Sequence[str], ps: Mapping[str, float]) -> DataFrame:
+    """Percentiles of any groups of days from their merged sketches.
+
+    With 99 % confidence an estimate is a value whose share of smaller values is within 2.3 / size^0.9 (0.3 % here) of the
+    wanted one; `SKETCH_RANK_ERROR` states three times that. Values are met, never interpolated.
+    """
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(
+        *keys, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(name) for name, p in ps.items()]
+    )
+
+
 def percentiles(
     hourly: DataFrame, ps: Mapping[str, float], col: str = "energy_kwh", series: str = "series_id", approx: bool = False,
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from gridmeter.operators.advice import highest_demand
 from gridmeter.operators.costs import peak_forecast, tou_cost, tou_summary
 from gridmeter.operators.rollup import hourly_rollup
 from gridmeter.queries.registry import Tables, query
+from gridmeter.session import shared_folder
 from gridmeter.queries.sources import meter_log
 
 DOW = "CAST(dayofweek(ts) + 1 AS INTEGER)"
@@ -59,6 +60,29 @@ def _(t: Tables) -> DataFrame:
     return stats.exact_percentiles(t.readings(), ["series_id"], "energy_kwh", p.REPORT_PERCENTILES)
 
 
+@query("a4_sketch_percentiles", needs="readings", sql="""
+SELECT series_id, 'D' || CAST(floor(day(ts) / 10) AS INTEGER) AS period, p, count(energy_kwh) AS n, true AS within_rank_error
+FROM readings, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS p) WHERE energy_kwh IS NOT NULL GROUP BY 1, 2, 3""")
+def _(t: Tables) -> DataFrame:
+    """Daily sketches, kept as a table and merged to tens of days; every estimate is held against all readings of its period."""
+    period = F.concat(F.lit("D"), F.floor(F.day("date") / 10).cast("string")).alias("period")
+    path = shared_folder(t.spark, "sketches")
+    stats.daily_sketches(t.readings()).write.parquet(path)
+    kept = t.spark.read.parquet(path).select("*", period)
+    wide = stats.sketch_percentiles(kept, ["series_id", "period"], p.REPORT_PERCENTILES)
+    points = F.array(*[F.struct(F.lit(float(q)).alias("p"), F.col(c).alias("estimate")) for c, q in p.REPORT_PERCENTILES.items()])
+    estimates = wide.select("series_id", "period", "n", points.alias("_points"))
+    rows = t.readings().filter("energy_kwh IS NOT NULL").withColumn("date", F.to_date("ts")).select("series_id", period, "energy_kwh")
+    tested = rows.join(estimates, ["series_id", "period"]).select("series_id", "period", "n", "energy_kwh", F.explode("_points").alias("_q"))
+    value, estimate = F.col("energy_kwh"), F.col("_q.estimate")
+    ranks = tested.groupBy("series_id", "period", F.col("_q.p").alias("p"), "n").agg(
+        F.count_if(value < estimate).alias("_below"), F.count_if(value <= estimate).alias("_upto"),
+    )
+    slack = stats.SKETCH_RANK_ERROR * F.col("n")
+    fits = (F.col("_below") <= F.col("p") * F.col("n") + slack) & (F.col("_upto") >= F.col("p") * F.col("n") - slack)
+    return ranks.select("series_id", "period", "p", "n", fits.alias("within_rank_error"))
+
+
 @query("a5_target_distribution", needs="clean", doubles="mean_kwh stddev_kwh skewness min_kwh max_kwh p05 p25 p50 p75 p90 p95 p99", sql=f"""
 SELECT series_id, count(*) AS n_rows, avg(energy_kwh) AS mean_kwh, stddev_samp(energy_kwh) AS stddev_kwh,
        skewness(energy_kwh) AS skewness, count(*) FILTER (energy_kwh = 0) AS zeros, count(*) FILTER (energy_kwh < 0.05) AS near_zero,

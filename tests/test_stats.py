@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from gridmeter.operators import stats
 from gridmeter.operators.profiles import submeter_share, target_distribution
 from gridmeter.operators.stats import corr_matrix, exact_percentiles, histogram
 
@@ -24,6 +25,36 @@ def test_exact_percentiles_of_skewed_groups(spark):
             assert got[k][name] == pytest.approx(np.quantile(vs, p), abs=1e-12)
 
 
+def test_buckets_are_cut_until_they_are_small(spark, monkeypatch):
+    """Thousands of different values, five to a bucket: several rounds give what one sort gives."""
+    monkeypatch.setattr(stats, "BUCKET_VALUES", 5)
+    rng = np.random.default_rng(2)
+    groups = {"wide": np.concatenate([rng.normal(size=9000), np.full(4000, 0.5)]), "few": np.array([3.0, 1.0]), "same": np.full(50, 2.0)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double").repartition(4)
+    ps = {"p00": 0.0, "p37": 0.37, "p50": 0.5, "p99": 0.99}
+    got = {r.k: r for r in stats.exact_percentiles(df, ["k"], "v", ps).collect()}
+    for k, vs in groups.items():
+        assert [got[k][name] for name in ps] == pytest.approx(np.quantile(vs, list(ps.values())), abs=1e-12)
+    assert stats.exact_percentiles(df.filter("false"), ["k"], "v", ps).count() == 0
+
+
+def test_sketches_merge_to_any_period(spark, hours):
+    """A year of one series in daily sketches, a short one, and one without a known value."""
+    rng = np.random.default_rng(5)
+    values = np.round(rng.gamma(2, 1.5, 24 * 365), 3)
+    table = hours({"a": values.tolist(), "short": [4.0, None, 1.0, 2.0], "none": [None] * 30})
+    daily = stats.daily_sketches(table)
+    assert daily.filter("series_id = 'a'").count() == 365 and daily.filter("series_id = 'none'").count() == 0
+    ps = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    got = {r.series_id: r for r in stats.sketch_percentiles(daily, ["series_id"], ps).collect()}
+    assert got["a"].n == len(values) and got["short"].n == 3 and got["short"].p50 == 2.0
+    for name, p in ps.items():
+        below, upto = np.mean(values < got["a"][name]), np.mean(values <= got["a"][name])
+        assert below - stats.SKETCH_RANK_ERROR <= p <= upto + stats.SKETCH_RANK_ERROR
+    few = stats.percentiles(table, ps, approx=True).filter("series_id = 'short'").first()
+    assert (few.p10, few.p50, few.p99) == (1.0, 2.0, 4.0)
+
+
 def test_correlation_with_a_constant_column_is_null(spark):
     rows = [("a", float(i), 1.0, float(-i) if i % 3 else None) for i in range(10)]
     df = spark.createDataFrame(rows, "series_id string, x double, c double, y double")
