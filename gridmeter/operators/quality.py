@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmeter.operators.chunks import hour_index
-from gridmeter.operators.cleaning import clean_hourly, dedup_measures, drop_null_ts, outlier_bounds
-from gridmeter.operators.cleaning import fill_short_gaps, flag_outliers
-from gridmeter.operators.rollup import complete_index
+from gridmeter.operators.cleaning import clean_hourly, drop_null_ts, fill_short_gaps, outlier_bounds
+from gridmeter.operators.rollup import complete_index, exact_sum
 from gridmeter.operators.stats import exact_percentiles
+from gridmeter.session import cut_lineage
 
 # Fixed values of the forecast and readiness rules.
 MIN_HOURLY_HISTORY = 169
@@ -88,10 +88,17 @@ def reconcile(stages: Mapping[str, DataFrame], series: str = "series_id", ts: st
 def preprocess_report(
     hourly: DataFrame, series: str = "series_id", ts: str = "ts", scale: int | None = None,
 ) -> DataFrame:
-    """Counts before and after every cleaning step, one row per series."""
-    index = hour_index(ts)
-    valid = F.col(ts).isNotNull()
-    raw = hourly.groupBy(series, ts).agg(F.count("*").alias("_n")).groupBy(series).agg(
+    """Counts before and after every cleaning step, one row per series.
+
+    The hourly table is read once: one aggregate over (series, timestamp) both removes duplicates and counts them. The filled
+    series is settled as well, since its bounds are needed before its outliers can be counted. A series without any valid
+    timestamp has no row.
+    """
+    index, valid = hour_index(ts), F.col(ts).isNotNull()
+    unique = cut_lineage(hourly.groupBy(series, ts).agg(
+        F.count("*").alias("_n"), exact_sum(F.col("energy_kwh"), scale).alias("energy_kwh"),
+    ))
+    raw = unique.groupBy(series).agg(
         F.sum("_n").alias("input_records"),
         F.coalesce(F.sum(F.when(~valid, F.col("_n"))), F.lit(0)).alias("null_timestamps_removed"),
         F.coalesce(F.sum(F.when(valid, F.col("_n"))), F.lit(0)).alias("records_before_dedup"),
@@ -99,20 +106,23 @@ def preprocess_report(
         F.count_if(valid).alias("records_after_dedup"),
         (F.max(index) - F.min(index) + 1).alias("expected_hourly_records"),
     ).withColumn("missing_hourly_records", F.col("expected_hourly_records") - F.col("records_after_dedup"))
-    complete = complete_index(dedup_measures(drop_null_ts(hourly, ts), series, ts, scale), series, ts)
-    filled = fill_short_gaps(complete.withColumn("_was_null", F.col("energy_kwh").isNull()), series=series, ts=ts)
-    cleaned = flag_outliers(filled, series=series).groupBy(series).agg(
+    complete = complete_index(drop_null_ts(unique, ts).drop("_n"), series, ts)
+    filled = cut_lineage(
+        fill_short_gaps(complete.withColumn("_was_null", F.col("energy_kwh").isNull()), series=series, ts=ts)
+    )
+    energy = F.col("energy_kwh")
+    outside = (energy > F.col("upper_bound")) | (energy < F.col("lower_bound"))
+    cleaned = filled.join(outlier_bounds(filled, series=series), series).groupBy(series).agg(
         F.count_if("_was_null").alias("missing_energy_before"),
         _nulls("energy_kwh").alias("missing_energy_after"),
         F.sum("is_long_gap").alias("long_gap_hours"),
-        F.sum("is_energy_outlier").alias("outlier_count"),
-        F.count_if(F.col("energy_kwh") < 0).alias("negative_energy_values"),
+        F.count_if(outside).alias("outlier_count"),
+        F.count_if(energy < 0).alias("negative_energy_values"),
         F.count("*").alias("output_records"),
+        F.first("lower_bound").alias("outlier_lower_bound"),
+        F.first("upper_bound").alias("outlier_upper_bound"),
     )
-    limits = outlier_bounds(filled, series=series).select(
-        series, F.col("lower_bound").alias("outlier_lower_bound"), F.col("upper_bound").alias("outlier_upper_bound"),
-    )
-    return raw.join(cleaned, series).join(limits, series)
+    return raw.join(cleaned, series)
 
 
 def readiness(days: Column) -> Column:

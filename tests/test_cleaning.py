@@ -101,3 +101,24 @@ def test_positions_across_chunks(hours):
     assert column(df, "pos") == list(range(1, n + 1))
     assert column(df, "pos", "b") == [1, 2]
     assert {r.n_rows for r in df.filter("series_id = 'a'").select("n_rows").distinct().collect()} == {n}
+
+
+def test_report_counts_every_step_and_reads_the_hours_once(spark, tmp_path):
+    from gridmeter.operators.quality import preprocess_report
+
+    hour = [f"2024-01-01 {h:02d}:00:00" for h in range(12)]
+    rows = [("a", hour[h], float(h % 3)) for h in (0, 1, 3, 4, 5, 11)] + [("a", hour[1], 2.0), ("a", None, 9.0), ("a", hour[4], 1000.0)]
+    rows += [("b", hour[0], -1.0), ("lost", None, 1.0)]
+    path = str(tmp_path / "hours")
+    spark.createDataFrame(rows, "series_id string, t string, energy_kwh double").selectExpr(
+        "series_id", "cast(t AS timestamp) AS ts", "energy_kwh").write.parquet(path)
+    report = preprocess_report(spark.read.parquet(path))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Scan parquet" not in plan
+    got = {r.series_id: r.asDict() for r in report.collect()}
+    assert set(got) == {"a", "b"}
+    a = got["a"]
+    assert (a["input_records"], a["null_timestamps_removed"], a["records_before_dedup"], a["duplicate_timestamps"]) == (9, 1, 8, 2)
+    assert (a["records_after_dedup"], a["expected_hourly_records"], a["missing_hourly_records"], a["output_records"]) == (6, 12, 6, 12)
+    assert (a["missing_energy_before"], a["missing_energy_after"], a["long_gap_hours"], a["outlier_count"]) == (6, 5, 5, 1)
+    assert a["outlier_upper_bound"] < 1001 and got["b"]["negative_energy_values"] == 1 and got["b"]["output_records"] == 1
