@@ -9,11 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridmeter.functions.calendar import with_cyclical, with_feature_calendar, with_interactions
 from gridmeter.operators.chunks import CHUNK, chunk_of, chunk_window, gather, hour_index, spread
@@ -169,99 +166,114 @@ def history_features(lagged: DataFrame, p90: str = "p90") -> DataFrame:
 
 
 # --- exponential means -----------------------------------------------------------------------------------------
-def _chunk_state(span: int) -> Column:
-    """What one chunk does to the running mean: `mean -> keep * mean + add`.
+SLICE = 24
+MEAN_FIELD = "{}:double"
 
-    A known value x that follows the previous known one after d hours changes the mean to (w * mean + a * x) / (w + a)
-    with w = (1 - a)^d, an affine map; a chunk is the composition of its maps. The first value of a series sets the mean.
-    """
-    alpha = 2.0 / (span + 1)
-    weight = F.pow(F.lit(1 - alpha), F.col("_gap"))
-    keep = F.coalesce(weight / (weight + alpha), F.lit(1.0))
-    steps = F.array_sort(F.collect_list(F.struct("_h", keep.alias("keep"), ((1 - keep) * F.col(E)).alias("add"))))
-    start = F.struct(F.lit(1.0).alias("keep"), F.lit(0.0).alias("add"))
-    return F.aggregate(
-        steps, start,
-        lambda acc, s: F.struct((acc["keep"] * s["keep"]).alias("keep"), (acc["add"] * s["keep"] + s["add"]).alias("add")),
-    )
 
+def _decay(span: int, gap: Column) -> tuple[float, Column]:
+    """Weight of a new value, and what hours without one leave of the old mean's weight."""
+    alpha = 2.0 / (span + 1)
+    return alpha, F.pow(F.lit(1 - alpha), gap.cast("double"))
 
-def _ewm_carry(slim: DataFrame, spans: Sequence[int]) -> DataFrame:
-    """Running means that reach every chunk from the earlier ones, with the hour of the last known value before it.
 
-    A chunk holds a bounded number of hours and a series a bounded number of chunks, so both folds stay small.
-    """
-    known_h = F.when(F.col(E).isNotNull(), F.col("_h"))
-    earlier = Window.partitionBy(S).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    ends = slim.groupBy(S, CHUNK).agg(F.max(known_h).alias("_last")).withColumn(
-        "_carry_h", F.last("_last", True).over(earlier)
-    )
-    inside = F.lag("_h").over(Window.partitionBy(S, CHUNK).orderBy("_h"))
-    gaps = (
-        slim.filter(F.col(E).isNotNull())
-        .join(ends.select(S, CHUNK, "_carry_h"), [S, CHUNK])
-        .withColumn("_gap", F.col("_h") - F.coalesce(inside, F.col("_carry_h")))
-    )
-    first = F.max(F.when(F.col("_gap").isNull(), F.col(E))).alias("_first")
-    maps = gaps.groupBy(S, CHUNK).agg(first, *[_chunk_state(s).alias(f"_map_{s}") for s in spans])
-    names = [f"_map_{s}" for s in spans]
-    history = F.array_sort(F.collect_list(F.struct(CHUNK, "_first", *names)).over(earlier))
+def _blend(span: int, mean: Column, gap: Column, value: Column) -> Column:
+    """Mean after a known value; the first value of a series is its first mean."""
+    alpha, old = _decay(span, gap)
+    return F.coalesce((old * mean + alpha * value) / (old + alpha), value)
 
-    def replay(name: str) -> Column:
-        def step(mean: Column, chunk: Column) -> Column:
-            state = F.coalesce(mean, chunk["_first"])
-            return F.coalesce(state * chunk[name]["keep"] + chunk[name]["add"], state)
 
-        return F.aggregate(history, F.lit(None).cast("double"), step)
+def _chunk_maps(chunks: DataFrame, spans: Sequence[int]) -> DataFrame:
+    """What a chunk does to the means that reach it: the first known value, then one affine map `mean -> keep * mean + add`."""
+    start = F.struct(
+        F.lit(None).cast("long").alias("first_h"), F.lit(None).cast("double").alias("first"), F.lit(None).cast("long").alias("last_h"),
+        *[F.lit(v).alias(f"{n}_{s}") for s in spans for n, v in (("keep", 1.0), ("add", 0.0))],
+    )
 
-    return ends.join(maps, [S, CHUNK], "left").select(
-        S, CHUNK, "_carry_h", *[replay(f"_map_{s}").alias(f"_carry_{s}") for s in spans]
+    def step(acc: Column, row: Column) -> Column:
+        value, gap = row[E].cast("double"), row["_h"] - acc["last_h"]
+        parts = [F.coalesce(acc["first_h"], row["_h"]).alias("first_h"), F.coalesce(acc["first"], value).alias("first"), row["_h"].alias("last_h")]
+        for s in spans:
+            alpha, old = _decay(s, gap)
+            keep = F.coalesce(old / (old + alpha), F.lit(1.0))
+            new = F.when(gap.isNotNull(), (1 - keep) * value).otherwise(F.lit(0.0))
+            parts += [(acc[f"keep_{s}"] * keep).alias(f"keep_{s}"), (acc[f"add_{s}"] * keep + new).alias(f"add_{s}")]
+        return F.when(value.isNotNull(), F.struct(*parts)).otherwise(acc)
+
+    return chunks.select(S, CHUNK, F.aggregate("_rows", start, step).alias("_map"))
+
+
+def _carried(maps: DataFrame, spans: Sequence[int]) -> DataFrame:
+    """Means and last known hour that reach every chunk: one fold over the maps of a series, six and a half a year."""
+    means = [f"mean_{s}" for s in spans]
+    fields = [MEAN_FIELD.format(n) for n in means]
+    emitted = f"array<struct<chunk:bigint,last_h:bigint,{','.join(fields)}>>"
+    start = F.struct(
+        F.lit(None).cast("long").alias("last_h"), *[F.lit(None).cast("double").alias(m) for m in means],
+        F.array().cast(emitted).alias("out"),
     )
 
+    def step(acc: Column, chunk: Column) -> Column:
+        done = chunk["_map"]
+        gap = done["first_h"] - acc["last_h"]
+        here = F.struct(chunk[CHUNK].alias("chunk"), acc["last_h"].alias("last_h"), *[acc[m].alias(m) for m in means])
+        after = [
+            F.coalesce(
+                _blend(s, acc[m], gap, done["first"]) * done[f"keep_{s}"] + done[f"add_{s}"], acc[m],
+            ).alias(m) for s, m in zip(spans, means)
+        ]
+        return F.struct(
+            F.coalesce(done["last_h"], acc["last_h"]).alias("last_h"), *after, F.concat(acc["out"], F.array(here)).alias("out"),
+        )
+
+    ordered = maps.groupBy(S).agg(F.array_sort(F.collect_list(F.struct(CHUNK, "_map"))).alias("_maps"))
+    every = ordered.select(S, F.explode(F.aggregate("_maps", start, step)["out"]).alias("_c"))
+    return every.select(S, F.col("_c.chunk").alias(CHUNK), F.col("_c").alias("_seed"))
+
+
+def _means_before(spans: Sequence[int]) -> Column:
+    """Means before every row of a chunk. Folded by slices, so that lists which grow by one element stay short."""
+    means = [f"mean_{s}" for s in spans]
+    emitted = f"array<struct<{','.join(MEAN_FIELD.format(n) for n in means)}>>"
+    empty = F.array().cast(emitted).alias("out")
+
+    def step(acc: Column, row: Column) -> Column:
+        value, gap = row[E].cast("double"), row["_h"] - acc["last_h"]
+        known = value.isNotNull()
+        return F.struct(
+            F.when(known, row["_h"]).otherwise(acc["last_h"]).alias("last_h"),
+            *[F.when(known, _blend(s, acc[m], gap, value)).otherwise(acc[m]).alias(m) for s, m in zip(spans, means)],
+            F.concat(acc["out"], F.array(F.struct(*[acc[m].alias(m) for m in means]))).alias("out"),
+        )
+
+    def slice_step(acc: Column, first: Column) -> Column:
+        start = F.struct(acc["last_h"].alias("last_h"), *[acc[m].alias(m) for m in means], empty)
+        part = F.aggregate(F.slice("_rows", first, SLICE), start, step)
+        return F.struct(
+            part["last_h"].alias("last_h"), *[part[m].alias(m) for m in means], F.concat(acc["out"], part["out"]).alias("out"),
+        )
+
+    seed = F.struct(F.col("_seed.last_h").alias("last_h"), *[F.col(f"_seed.{m}").alias(m) for m in means], empty)
+    return F.aggregate(F.sequence(F.lit(1), F.size("_rows"), F.lit(SLICE)), seed, slice_step)["out"]
+
 
 def with_ewm(grid: DataFrame, spans: Sequence[int] = EWM_SPANS) -> DataFrame:
     """Exponential means (alpha = 2 / (span + 1)) of the hours before; unknown hours only let the old weight decay.
 
-    The recursion runs per (series, chunk) in pandas, seeded with the state that the earlier chunks leave behind, so
-    neither a long series nor a hot one needs a single task.
+    An affine scan in built-in expressions: a chunk's rows lie in one array, its effect on a mean is one affine map, the maps of
+    a series are composed once, and every chunk is then folded from the means that reach it. Rows are shuffled once, and neither
+    a long series nor a hot one needs a single task. Expects a complete hourly index.
     """
+    spans = list(spans)
     tagged = grid.withColumn("_h", hour_index(TS)).withColumn(CHUNK, chunk_of(F.col("_h")))
-    names = [f"ewm_{s}" for s in spans]
-    # Read by the chunk summaries, the carried states and the recursion itself, so it is settled once.
-    slim = cut_lineage(tagged.select(S, TS, E, "_h", CHUNK))
-    carries = _ewm_carry(slim, spans)
-    schema = T.StructType(
-        [slim.schema[S], slim.schema[TS]] + [T.StructField(n, T.DoubleType()) for n in names]
-    )
-
-    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_h")
-        out = pdf[[S, TS]].copy()
-        seed_h = pdf["_carry_h"].iloc[0]
-        gap = 0 if pd.isna(seed_h) else int(pdf["_h"].iloc[0] - seed_h)
-        for span, name in zip(spans, names):
-            values = pdf[E].astype("float64").to_numpy().copy()
-            before = float("nan")
-            known = np.flatnonzero(~np.isnan(values))
-            if gap:
-                # The weight of the carried mean has decayed over all hours up to the first known one, however many.
-                before, alpha = float(pdf[f"_carry_{span}"].iloc[0]), 2 / (span + 1)
-                if len(known):
-                    weight = (1 - alpha) ** (gap + int(known[0]))
-                    values[known[0]] = (weight * before + alpha * values[known[0]]) / (weight + alpha)
-            mean = pd.Series(values).ewm(span=span, adjust=False).mean().to_numpy()
-            mean[: known[0] if len(known) else len(mean)] = before
-            # Shift by one hour so that the row's own value is not part of its feature.
-            shifted = np.concatenate(([before], mean[:-1]))
-            out[name] = shifted
-        return out
-
-    means = (
-        slim.join(carries, [S, CHUNK], "left")
-        .groupBy(S, CHUNK)
-        .applyInPandas(per_chunk, schema)
+    rest = [c for c in grid.columns if c != S]
+    # Read by the maps and by the folds themselves, so it is settled once.
+    chunks = cut_lineage(tagged.groupBy(S, CHUNK).agg(F.array_sort(F.collect_list(F.struct("_h", *rest))).alias("_rows")))
+    seeded = chunks.join(_carried(_chunk_maps(chunks, spans), spans), [S, CHUNK])
+    rows = seeded.select(S, F.explode(F.arrays_zip("_rows", _means_before(spans).alias("_means"))).alias("_z"))
+    out = {f"ewm_{s}": F.col(f"_z._means.mean_{s}") for s in spans}
+    return rows.select(
+        *[S if c == S else F.col(f"_z._rows.{c}").alias(c) for c in grid.columns], *[v.alias(n) for n, v in out.items()],
     )
-    return grid.join(means, [S, TS], "left")
 
 
 def advanced_features(grid: DataFrame, p90: str | None = None, ewm: bool = True) -> DataFrame:
@@ -270,17 +282,16 @@ def advanced_features(grid: DataFrame, p90: str | None = None, ewm: bool = True)
     `p90` names a column that holds the peak threshold; without it the series' own 90th percentile is used.
     """
     windows = {**_lag_columns(ADVANCED_LAGS), **_strict_columns(), **_strict_order_columns()}
-    rows = gather(spread(grid, hour_index(TS), back=HISTORY).withColumns(windows))
+    means = [f"ewm_{s}" for s in EWM_SPANS] if ewm else []
+    base = with_ewm(grid) if ewm else grid
+    rows = gather(spread(base, hour_index(TS), back=HISTORY).withColumns(windows))
     named = with_feature_calendar(rows, TS).drop("year", "day", "day_of_month", "week_of_year")
     dated = with_interactions(with_cyclical(named.withColumnRenamed("day_of_week", "dow"), "dow"), "dow")
     if p90 is None:
         out = history_features(dated.join(percentiles(grid, {"p90": 0.9}), S)).drop("p90")
     else:
         out = history_features(dated, p90)
-    if not ewm:
-        return out
-    means = with_ewm(grid.select(S, TS, E)).drop(E)
-    return out.join(means, [S, TS])
+    return out.select(*[c for c in out.columns if c not in means], *means)
 
 
 def locf_zero(df: DataFrame) -> DataFrame:

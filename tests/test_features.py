@@ -46,6 +46,15 @@ def test_ewm_equals_one_pass_over_the_whole_series(hours):
         np.testing.assert_allclose(got[f"ewm_{span}"], expected, rtol=1e-12, equal_nan=True)
 
 
+def test_exponential_means_run_without_python_and_join_chunks_only(hours):
+    got = f.with_ewm(hours({"a": [1.0, None, 3.0] * 20}).withColumn("note", F.lit("kept")), [3])
+    assert got.columns == ["series_id", "ts", "energy_kwh", "note", "ewm_3"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan for word in ("Pandas", "Arrow", "Python")) and plan.count("Join") == 1
+    # The join lies below the explode: it meets one row a chunk.
+    assert plan.index("Generate explode") < plan.index("Join")
+
+
 def test_chunked_windows_equal_whole_series_windows(hours):
     values = long_values(7, 2 * CHUNK_ROWS)
     series = pd.Series([np.nan if v is None else v for v in values])
