@@ -1,85 +1,150 @@
 """Adaptive context-mixing range coder for token ids below 65,536.
 
-An id is four hexadecimal digits, most significant first. Each digit is predicted by three adaptive models: one of the
-digits so far (order 0), one that also knows the id before (order 1), one that knows the two before (order 2). Their
-distributions are mixed with weights that follow how well each did, and the mixture drives a 48-bit range coder that emits
-16-bit words. Every block starts from the same state, so blocks are independent; many are coded at once, one to a lane of
-numpy arrays. All arithmetic is on integers, so any machine decodes what another encoded.
+An id is coded in one step from a mixture of three distributions: of all ids so far (order 0), of ids after the id before
+(order 1), and of ids after the two before (order 2). A context of orders 1 and 2 holds two ids with small counts; what such
+counts are worth is learned from the outcomes, and what they leave open falls to order 0. The weights of the three orders
+follow how well each did, apart for every pair of counts. The mixture drives a 64-bit range coder that emits 16-bit words.
+
+Many blocks are coded at once, one to a lane of numpy arrays, and share one model, which so stays in a processor's cache and
+learns from all of them; blocks coded together are decoded together. Lanes that meet in a context are taken in their order.
+All arithmetic is on integers, so any machine decodes what another encoded.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DIGITS = 4
-#: Rows of adaptive distributions for each order; orders 1 and 2, and the last digit of order 0, are hashed into theirs.
-ROWS = (785, 512, 1024)
-RATES = (5, 4, 3)
-LANES = 1024
-_TOP, _LOW = np.uint64(48), np.uint64(0xFFFFFFFFFFFF)
-_STEP = np.where(np.arange(16)[None, :] > np.arange(16)[:, None], 32767, 0).astype(np.int16)
-_FIRST = (np.arange(16) * 2048).astype(np.int16)
-_RAMP = (2 * np.arange(16)).astype(np.int32)
+LANES = 4096
+IDS = 1 << 16
+#: Shares of order 0 are out of 2^20, weights out of 2^12; what is coded is out of 2^32.
+SHARE, WEIGHT = 20, 12
+CONTEXTS = 1 << 17
+TOP = 7
+#: Weights are renewed after every step of the first, then after one of so many; shares of order 0 after steps 1, 2, 4 and so on, and every fourth time.
+COUNTED, EVERY = 32, 8
+_LEAST = np.uint64(1 << 48)
+_WORD, _HEAD, _TOTAL = np.uint64(16), np.uint64(48), np.uint64(32)
+
+
+def _transitions() -> np.ndarray:
+    """Counts of a context's two ids after (counts before, outcome), and in bit 6 whether the coded id becomes the first."""
+    out = np.zeros((TOP + 1, TOP + 1, 3), dtype=np.int64)
+    for a in range(TOP + 1):
+        for b in range(TOP + 1):
+            more = min(b + 1, TOP)
+            out[a, b, 0] = min(a + 1, TOP) << 3 | b
+            out[a, b, 1] = 64 | more << 3 | a if more > a else a << 3 | more
+            out[a, b, 2] = (a - 1) << 3 | 1 if a else 64 | 1 << 3
+    return out.ravel()
+
+
+_AFTER = _transitions()
+_IDS = np.arange(IDS).astype(np.uint16)
+#: Counts of the contexts of order 1 and 2, and the counts of their first ids, by both.
+_ONE, _TWO = np.arange(4096) & 63, np.arange(4096) >> 6
+_PAIR = _TWO & 56 | _ONE >> 3
 
 
 class Model:
-    """Distributions and weights of `lanes` blocks, as sums before each of 16 digits."""
+    """What the ids so far tell of the next one, for all lanes."""
 
     def __init__(self, lanes: int):
-        self.tables = [np.tile(_FIRST, (lanes * rows, 1)) for rows in ROWS]
-        self.base = [np.arange(lanes) * rows for rows in ROWS]
-        self.lane = np.arange(lanes)
         self.before = np.zeros((2, lanes), dtype=np.int64)
-        self.weights = np.full((DIGITS, 2, lanes), 21845, dtype=np.int64)
-
-    def start(self, n: int) -> None:
-        """Begin an id in the first n lanes."""
-        self.n = n
-        one, two = self.before[0, :n], self.before[1, :n]
-        self.seed = (one * 0x2545F491 + 0x1B873593, (one * 0x6C8E9CF5 + two * 0x3C6EF372) + 0x27220A95)
-        self.prefix = np.zeros(n, dtype=np.int64)
-
-    def mixed(self, level: int) -> np.ndarray:
-        """(n, 16) sums before each digit, out of 65,536; every digit has a share."""
-        n = self.n
-        self.level = level
-        if level < 3:
-            place = self.prefix + (0, 1, 17)[level]
+        # A context: first id, second id, counts of both.
+        self.contexts = (np.zeros(IDS, dtype=np.int64), np.zeros(CONTEXTS, dtype=np.int64))
+        self.outcomes = np.tile(np.array([1, 1, 2], dtype=np.int64), (2, 64, 1))
+        self.credit, self.trials = np.full((2, 64), 4 << WEIGHT, dtype=np.int64), np.full(64, 12 << WEIGHT, dtype=np.int64)
+        self.seen, self.unseen = np.zeros(IDS, dtype=np.int64), []
+        self.step = 0
+        self._share()
+        self._weigh()
+
+    def _share(self) -> None:
+        """Shares of order 0; every id has one."""
+        if self.unseen:
+            self.seen += np.bincount(np.concatenate(self.unseen), minlength=IDS)
+        self.unseen = []
+        n = int(self.seen.sum())
+        share = 1 + self.seen * ((1 << SHARE) - IDS) // max(n, 1)
+        if n:
+            share[self.seen.argmax()] += (1 << SHARE) - int(share.sum())
         else:
-            place = 273 + (self.prefix * 0x9E3779B1 >> 7 & 511)
-        node = (self.prefix + (level << 12)) * 0x85EBCA6B
-        mixed1, mixed2 = (node ^ self.seed[0]) * 0x9E3779B1, (node ^ self.seed[1]) * 0x9E3779B1
-        self.rows = (self.base[0][:n] + place, self.base[1][:n] + (mixed1 >> 21 & 511), self.base[2][:n] + (mixed2 >> 21 & 1023))
-        self.parts = [t[r] for t, r in zip(self.tables, self.rows, strict=True)]
-        w1, w2 = (self.weights[level, :, :n] >> 8).astype(np.int32)
-        a, b, c = self.parts
-        total = a * (256 - w1 - w2)[:, None] + b * w1[:, None] + c * w2[:, None]
-        return ((total >> 8) * 65504 >> 15) + _RAMP
-
-    def update(self, digit: np.ndarray) -> None:
-        n, level = self.n, self.level
-        lane = self.lane[:n]
-        end = np.minimum(digit + 1, 15)
-        last = digit == 15
-        share = []
-        for part in self.parts:
-            high = part[lane, end].astype(np.int64)
-            high[last] = 32768
-            share.append(high - part[lane, digit] + 16)
-        w = self.weights[level, :, :n]
-        one, two = w[0] * share[1], w[1] * share[2]
-        total = (65536 - w[0] - w[1]) * share[0] + one + two
-        w[0] += ((one << 16) // total - w[0]) >> 5
-        w[1] += ((two << 16) // total - w[1]) >> 5
-        np.clip(w, 1024, 31744, out=w)
-        goal = _STEP[digit]
-        for table, row, part, rate in zip(self.tables, self.rows, self.parts, RATES, strict=True):
-            part += (goal - part) >> rate
-            table[row] = part
-        self.prefix = self.prefix << 4 | digit
-        if level == DIGITS - 1:
-            self.before[1, :n] = self.before[0, :n]
-            self.before[0, :n] = self.prefix
+            share[:] = (1 << SHARE) // IDS
+        self.share, self.start = share.astype(np.int32), (np.cumsum(share) - share).astype(np.int32)
+        self.id_at = np.repeat(_IDS, share)
+
+    def _weigh(self) -> None:
+        """Weights of the candidates by the counts of both contexts; the counts of their first ids select those of the orders."""
+        odds = (self.outcomes[:, :, :2] << WEIGHT) // self.outcomes.sum(axis=2, keepdims=True)
+        weights = np.maximum((self.credit << WEIGHT) // self.trials * 4064 >> WEIGHT, 8)[:, _PAIR]
+        self.masses = np.concatenate([odds[0, _ONE].T * weights[0], odds[1, _TWO].T * weights[1]]).astype(np.int32) >> WEIGHT
+        self.rests = (1 << WEIGHT) - self.masses.sum(axis=0)
+
+    def predict(self, n: int) -> None:
+        """Candidates of the next id in the first n lanes, with their weights; the rest is order 0's."""
+        one, two = self.before[0, :n], self.before[1, :n]
+        self.n, self.at = n, (one, (one * 0x2545F491 + two * 0x3C6EF372) >> 9 & CONTEXTS - 1)
+        held = [t[a] for t, a in zip(self.contexts, self.at, strict=True)]
+        self.ids, self.mass = np.empty((4, n), dtype=np.int32), np.empty((4, n), dtype=np.int32)
+        self.counts = [h >> 32 for h in held]
+        self.both = self.counts[1] << 6 | self.counts[0]
+        for o, h in enumerate(held):
+            self.ids[2 * o], self.ids[2 * o + 1] = h & 0xFFFF, h >> 16 & 0xFFFF
+        for table, mass in zip(self.masses, self.mass, strict=True):
+            np.take(table, self.both, out=mass, mode="clip")
+        self.rest = self.rests[self.both]
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the ids' shares of the mixture, out of 2^32."""
+        narrow = ids.astype(np.int32)
+        self.same = self.ids == narrow
+        self.hit = self.mass * self.same
+        below = (self.mass * (self.ids < narrow)).sum(axis=0, dtype=np.int32).astype(np.int64)
+        begin = self.rest * self.start[ids] + (below << SHARE)
+        self.size = self.rest * self.share[ids] + (self.hit.sum(axis=0, dtype=np.int32).astype(np.int64) << SHARE)
+        return begin, self.size
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose shares hold the values."""
+        below, equal = np.zeros_like(self.mass), np.zeros_like(self.mass)
+        for ids, mass in zip(self.ids, self.mass, strict=True):
+            below += mass * (ids < self.ids)
+            equal += mass * (ids == self.ids)
+        begin = self.rest * self.start[self.ids] + (below.astype(np.int64) << SHARE)
+        end = begin + self.rest * self.share[self.ids] + (equal.astype(np.int64) << SHARE)
+        passed = end <= value
+        free = value - ((self.mass * passed).sum(axis=0, dtype=np.int32).astype(np.int64) << SHARE)
+        out = self.id_at[np.minimum(free // self.rest, (1 << SHARE) - 1)].astype(np.int64)
+        inside = ~passed & (begin <= value)
+        for ids, here in zip(self.ids, inside, strict=True):
+            np.copyto(out, ids, where=here)
+        return out
+
+    def update(self, ids: np.ndarray) -> None:
+        """Learn the ids, after `interval` of them."""
+        counted = self.step < COUNTED or self.step % EVERY == EVERY - 1
+        pair = _PAIR[self.both] if counted else None
+        for o in range(2):
+            first, second = self.same[2 * o], self.same[2 * o + 1]
+            outcome = self.counts[o] * 3 + np.where(first, 0, 2 - second)
+            after = _AFTER[outcome]
+            promoted, old = after >= 64, self.ids[2 * o]
+            head = np.where(promoted, ids, old)
+            tail = np.where(promoted, old, np.where(first, self.ids[2 * o + 1], ids))
+            self.contexts[o][self.at[o]] = (after & 63) << 32 | tail << 16 | head
+            if counted:
+                self.outcomes[o] += np.bincount(outcome, minlength=192).reshape(64, 3)
+                mass = (self.hit[2 * o].astype(np.int64) + self.hit[2 * o + 1]) << SHARE
+                # Sums of whole doubles are exact below 2^53.
+                self.credit[o] += np.bincount(pair, weights=(mass << WEIGHT) // self.size, minlength=64).astype(np.int64)
+        self.unseen.append(ids)
+        self.before[1, : self.n], self.before[0, : self.n] = self.before[0, : self.n], ids
+        if counted:
+            self.trials += np.bincount(pair, minlength=64) << WEIGHT
+            self._weigh()
+        self.step += 1
+        if self.step & self.step - 1 == 0 or self.step % (4 * EVERY) == 0:
+            self._share()
 
 
 def _ordered(sizes: np.ndarray) -> np.ndarray:
@@ -97,53 +162,56 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _carry(out: np.ndarray, lanes: np.ndarray, at: np.ndarray) -> None:
+    """Add one to the words already out."""
+    while len(lanes):
+        out[lanes, at] += np.uint16(1)
+        more = out[lanes, at] == 0
+        lanes, at = lanes[more], at[more] - 1
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks])
     lanes, longest = len(blocks), int(sizes[0]) if len(blocks) else 0
     ids = np.zeros((longest, lanes), dtype=np.int64)
     for i, block in enumerate(blocks):
         ids[: len(block), i] = block
-    if longest and ids.max() > 0xFFFF:
+    if longest and ids.max() >= IDS:
         raise ValueError("ids of 65,536 and more have no code")
     model = Model(lanes)
-    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFF, dtype=np.uint64)
-    out = np.zeros((lanes, longest * DIGITS + 4), dtype=np.uint16)
+    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    # An id has a share of 8 / 2^32 at least: two words.
+    out = np.zeros((lanes, longest * 2 + 2), dtype=np.uint16)
     at = np.zeros(lanes, dtype=np.int64)
-    lane = np.arange(lanes)
     for t in range(longest):
         n = int(np.searchsorted(-sizes, -t, side="left"))
-        model.start(n)
-        for level in range(DIGITS):
-            digit = ids[t, :n] >> (12 - 4 * level) & 15
-            sums = model.mixed(level)
-            begin = sums[lane[:n], digit].astype(np.uint64)
-            end = sums[lane[:n], np.minimum(digit + 1, 15)].astype(np.uint64)
-            end[digit == 15] = 65536
-            unit = width[:n] >> np.uint64(16)
-            low[:n] += unit * begin
-            width[:n] = unit * (end - begin)
-            over = np.flatnonzero(low[:n] >> _TOP)
-            low[over] &= _LOW
-            back = at[over] - 1
-            while len(over):  # carry into words already out
-                out[over, back] += np.uint16(1)
-                more = out[over, back] == 0
-                over, back = over[more], back[more] - 1
-            small = np.flatnonzero(width[:n] < np.uint64(1 << 32))
-            if len(small):
-                out[small, at[small]] = (low[small] >> np.uint64(32)).astype(np.uint16)
-                at[small] += 1
-                low[small] = (low[small] << np.uint64(16)) & _LOW
-                width[small] <<= np.uint64(16)
-            model.update(digit)
-    for shift in (32, 16, 0):
-        out[lane, at] = (low >> np.uint64(shift)).astype(np.uint16)
-        at += 1
-    return [out[i, : at[i]].astype("<u2").tobytes() for i in range(lanes)]
+        model.predict(n)
+        begin, size = model.interval(ids[t, :n])
+        unit = width[:n] >> _TOTAL
+        step = unit * begin.view(np.uint64)
+        low[:n] += step
+        width[:n] = unit * size.view(np.uint64)
+        over = np.flatnonzero(low[:n] < step)
+        _carry(out, over, at[over] - 1)
+        small = np.flatnonzero(width[:n] < _LEAST)
+        while len(small):
+            out[small, at[small]] = (low[small] >> _HEAD).astype(np.uint16)
+            at[small] += 1
+            low[small] <<= _WORD
+            width[small] <<= _WORD
+            small = small[width[small] < _LEAST]
+        model.update(ids[t, :n])
+    # The first word that, followed by zeros, lies in the interval.
+    step = _LEAST - np.uint64(1)
+    low += step
+    over = np.flatnonzero(low < step)
+    _carry(out, over, at[over] - 1)
+    out[np.arange(lanes), at] = (low >> _HEAD).astype(np.uint16)
+    return [out[i, : at[i] + 1].astype("<u2").tobytes() if sizes[i] else b"" for i in range(lanes)]
 
 
 def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """Ids of every block, given how many it has."""
+    """Ids of every block, given all blocks that were encoded together, in order, and how many ids each has."""
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for lo in range(0, len(coded), LANES):
         size = np.array(sizes[lo : lo + LANES])
@@ -158,30 +226,25 @@ def _decode(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     words = np.zeros((lanes, max((len(c) // 2 for c in coded), default=0) + 4), dtype=np.uint64)
     for i, c in enumerate(coded):
         words[i, : len(c) // 2] = np.frombuffer(c, dtype="<u2")
-    code = words[:, 0] << np.uint64(32) | words[:, 1] << np.uint64(16) | words[:, 2]
-    width = np.full(lanes, 0xFFFFFFFFFFFF, dtype=np.uint64)
-    at = np.full(lanes, 3, dtype=np.int64)
-    lane = np.arange(lanes)
+    code = words[:, 0] << _HEAD | words[:, 1] << _TOTAL | words[:, 2] << _WORD | words[:, 3]
+    width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    at = np.full(lanes, 4, dtype=np.int64)
     ids = np.zeros((longest, lanes), dtype=np.uint32)
     model = Model(lanes)
     for t in range(longest):
         n = int(np.searchsorted(-sizes, -t, side="left"))
-        model.start(n)
-        for level in range(DIGITS):
-            sums = model.mixed(level)
-            unit = width[:n] >> np.uint64(16)
-            value = np.minimum(code[:n] // unit, np.uint64(65535)).astype(np.int32)
-            digit = (sums <= value[:, None]).sum(axis=1) - 1
-            begin = sums[lane[:n], digit].astype(np.uint64)
-            end = sums[lane[:n], np.minimum(digit + 1, 15)].astype(np.uint64)
-            end[digit == 15] = 65536
-            code[:n] -= unit * begin
-            width[:n] = unit * (end - begin)
-            small = np.flatnonzero(width[:n] < np.uint64(1 << 32))
-            if len(small):
-                code[small] = (code[small] << np.uint64(16)) | words[small, np.minimum(at[small], words.shape[1] - 1)]
-                at[small] += 1
-                width[small] <<= np.uint64(16)
-            model.update(digit)
-        ids[t, :n] = model.before[0, :n]
+        model.predict(n)
+        unit = width[:n] >> _TOTAL
+        found = model.find(np.minimum(code[:n] // unit, np.uint64(0xFFFFFFFF)).view(np.int64))
+        begin, size = model.interval(found)
+        code[:n] -= unit * begin.view(np.uint64)
+        width[:n] = unit * size.view(np.uint64)
+        small = np.flatnonzero(width[:n] < _LEAST)
+        while len(small):
+            code[small] = code[small] << _WORD | words[small, np.minimum(at[small], words.shape[1] - 1)]
+            at[small] += 1
+            width[small] <<= _WORD
+            small = small[width[small] < _LEAST]
+        model.update(found)
+        ids[t, :n] = found
     return [ids[: sizes[i], i].copy() for i in range(lanes)]

@@ -1,9 +1,10 @@
-"""Token ids of documents in ascending id order, in files of independently coded and checksummed blocks.
+"""Token ids of documents in ascending id order, in files of coded and checksummed blocks.
 
-A file holds: 8 bytes `IDBLOCK1`; the sizes of its index (bytes, unsigned 64 bit) and of its blocks (number, 32 bit); the
+A file holds: 8 bytes `IDBLOCK2`; the sizes of its index (bytes, unsigned 64 bit) and of its blocks (number, 32 bit); the
 index, compressed, with its CRC-32: ids (64 bit), whether they are null (8 bit), ids per document (64 bit); then for each
 block the number of ids, the coded bytes and their CRC-32 (32 bit each), and the coded bytes. All numbers are little-endian.
-A document may run over blocks, but not over files. A block is decoded alone, from a fresh model (see `rangecoder`).
+A document may run over blocks, but not over files. The blocks of a file share a model and are decoded side by side (see
+`rangecoder`); a file is decoded alone.
 
 Null texts are empty ones and hold the end id alone. Null ids come first, rows that repeat an id by their text. An empty
 table leaves no files and an empty result. Extra columns are left out. Files get names of their own, so a task that runs
@@ -26,8 +27,9 @@ from gridmeter.llm import files, rangecoder
 from gridmeter.llm.common import settle
 from gridmeter.llm.tokens import encoder
 
-MAGIC = b"IDBLOCK1"
-BLOCK = 4096
+MAGIC = b"IDBLOCK2"
+#: Ids of a block: a file has as many as the coder has lanes.
+BLOCK = 256
 #: Ids of a file, about; a document is never cut.
 FILE = 1 << 20
 END = 2

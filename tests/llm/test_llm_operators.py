@@ -475,6 +475,40 @@ def test_range_coder_round_trip():
         rangecoder.encode([np.array([65536], np.uint32)])
 
 
+def coded_bits(blocks):
+    coded = rangecoder.encode(blocks)
+    assert all((a == b).all() for a, b in zip(rangecoder.decode(coded, [len(b) for b in blocks]), blocks, strict=True))
+    return 8 * sum(map(len, coded)) / sum(map(len, blocks))
+
+
+def test_blocks_share_a_model_of_three_orders():
+    rng = np.random.default_rng(4)
+    few, some = rng.permutation(50_000)[:256].astype(np.uint32), rng.permutation(50_000)[:16].astype(np.uint32)
+    assert coded_bits([rng.choice(few, 256) for _ in range(200)]) < 9.5  # order 0: 8 bits
+    after = dict(zip(few.tolist(), rng.permutation(few).tolist(), strict=True))
+    chains = []
+    for _ in range(100):
+        chain = [int(rng.choice(few))]
+        while len(chain) < 256:
+            chain.append(after[chain[-1]])
+        chains.append(np.array(chain, np.uint32))
+    assert coded_bits(chains) < 1  # order 1
+    sums = []
+    for _ in range(100):
+        at = [int(rng.integers(16)), int(rng.integers(16))]
+        while len(at) < 256:
+            at.append((at[-1] * 7 + at[-2] * 3 + 1) % 16)
+        sums.append(some[at])
+    assert coded_bits(sums) < 1  # order 2
+
+
+def test_range_coder_carries_and_groups(monkeypatch):
+    monkeypatch.setattr(rangecoder, "LANES", 7)
+    rng = np.random.default_rng(6)
+    blocks = [rng.integers(0, [1, 2, 300, 65536][i % 4], 400 - i).astype(np.uint32) for i in range(30)]
+    assert coded_bits([*blocks, np.full(400, 65535, np.uint32)]) > 0
+
+
 def test_token_files_round_trip(spark, odd_rows, monkeypatch):
     monkeypatch.setattr(tokenfiles, "FILE", 3000)
     rows = [r for r in odd_rows if r[0] != 404]
