@@ -134,3 +134,12 @@ def test_exponential_mean_after_a_silence_of_years(spark, hours):
     got = [r.ewm_5000 for r in f.with_ewm(hours({"s": values}), [5000]).orderBy("ts").collect()]
     want = pd.Series(values, dtype="float64").ewm(span=5000, adjust=False).mean().shift(1)
     assert np.allclose(np.array(got, dtype="float64"), want.to_numpy(), rtol=1e-9, equal_nan=True)
+
+
+def test_last_hours_of_the_advanced_table(spark, hours):
+    rng = random.Random(5)
+    grid = hours({"a": [rng.randint(0, 90) / 8 for _ in range(CHUNK_ROWS + 60)], "b": [rng.choice([None, 1, 2, 5]) for _ in range(400)], "c": [3] * 20})
+    ends = grid.groupBy("series_id").agg(F.max("ts").alias("end"))
+    whole = f.advanced_features(grid).join(ends, "series_id").filter("ts > end - INTERVAL 24 HOURS").drop("end")
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert key(f.advanced_features(grid, last=24)) == key(whole)
