@@ -122,3 +122,17 @@ def test_report_counts_every_step_and_reads_the_hours_once(spark, tmp_path):
     assert (a["records_after_dedup"], a["expected_hourly_records"], a["missing_hourly_records"], a["output_records"]) == (6, 12, 6, 12)
     assert (a["missing_energy_before"], a["missing_energy_after"], a["long_gap_hours"], a["outlier_count"]) == (6, 5, 5, 1)
     assert a["outlier_upper_bound"] < 1001 and got["b"]["negative_energy_values"] == 1 and got["b"]["output_records"] == 1
+
+
+def test_complete_index_moves_known_hours_only(spark):
+    rows = [("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-01 03:00:00", 2.0), ("a", "2024-01-01 03:00:00", 3.0), ("a", "2024-01-01 03:30:00", 9.0),
+            ("a", "2024-06-01 05:30:00", 4.0), ("a", None, 5.0), ("b", "2024-01-01 00:30:00", 6.0), ("b", "2024-01-01 01:00:00", None),
+            (None, "2024-01-01 00:00:00", 7.0), (None, "2024-01-01 02:00:00", 8.0), ("c", None, 1.0)]
+    data = spark.createDataFrame(rows, "series_id string, ts string, energy_kwh double").withColumn("ts", F.to_timestamp("ts"))
+    ends = data.filter("ts IS NOT NULL").groupBy("series_id").agg(F.date_trunc("hour", F.min("ts")).alias("lo"), F.date_trunc("hour", F.max("ts")).alias("hi"))
+    hours = ends.select("series_id", F.explode(F.expr("sequence(lo, hi, INTERVAL 1 HOUR)")).alias("ts"))
+    found = complete_index(data)
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert key(found) == key(hours.join(data, ["series_id", "ts"], "left"))
+    plan = found.groupBy("series_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
