@@ -149,3 +149,16 @@ def test_covered_months_without_readings_are_zero(spark):
     assert (april.previous_period, april.cost_difference, april.cost_change_percent) == ("2024-03", 21.0, 0.0)
     costs = h.cost_analytics(totals, catalog).first()
     assert (costs.lowest_cost, costs.lowest_cost_month, costs.months_analyzed) == (0.0, "2024-03", 4)
+
+
+def test_period_totals_move_months_once_and_as_numbers(spark):
+    catalog = spark.createDataFrame([("a", 1, ts("2023-11-05"), ts("2024-02-03")), ("b", 2, ts("0999-12-31"), ts("0999-12-31"))], CATALOG)
+    merged = spark.createDataFrame([(1, ts("2023-12-01"), 2.0), (1, ts("2024-01-31"), 3.0), (1, ts("2024-01-01"), 0.5), (1, None, 4.0)],
+                                   "user_id long, ts timestamp, energy_kwh double")
+    totals = h.period_totals(merged, catalog, rate=2.0)
+    want = {(1, "2023-11"): 0.0, (1, "2023-12"): 2.0, (1, "2024-01"): 3.5, (1, "2024-02"): 0.0, (1, "2023"): 2.0, (1, "2024"): 3.5, (2, "0999-12"): 0.0,
+            (2, "0999"): 0.0, (1, None): 8.0}
+    assert {(r.user_id, r.period): r.consumption_kwh for r in totals.collect()} == want
+    assert all(r.cost == 2 * r.consumption_kwh for r in totals.collect())
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and "period" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
