@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmeter.llm.common import settle
-from gridmeter.llm.tokens import encoder
+from gridmeter.llm.tokens import encoder, grouped
 
 LENGTH, END = 1024, 0
 
@@ -82,8 +82,8 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = EN
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, count = encoder(path).encode(batch.column(1).to_pylist(), end)
+        for keys, texts in grouped(batches):
+            ids, count = encoder(path).encode(texts, end)
             data = ids.astype("<u4").tobytes()
             begin = np.cumsum(count) - count
             cuts = -(-count // length)
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = EN
             size = np.minimum(count[doc] - start, length)
             lo = (begin[doc] + start) * 4
             crc = [zlib.crc32(data[a : a + 4 * n]) for a, n in zip(lo.tolist(), size.tolist(), strict=True)]
-            cols = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(count[doc])]
+            cols = [keys.take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(count[doc])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     schema = rows.select("doc_id").schema

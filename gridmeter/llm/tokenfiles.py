@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.llm import files, rangecoder
 from gridmeter.llm.common import settle
-from gridmeter.llm.tokens import encoder
+from gridmeter.llm.tokens import encoder, grouped
 
 MAGIC = b"IDBLOCK2"
 #: Ids of a block: a file has as many as the coder has lanes.
@@ -88,9 +88,9 @@ def write(docs: DataFrame, path: str, end: int = END, text: str = "text", doc_id
             row = {"part": [part], "file": [number], "uri": [uri], "n_docs": [len(doc_ids)], "n_ids": [held]}
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in batches:
-            found, count = encoder(path).encode(batch.column(1).to_pylist(), end)
-            ends, begin, names = np.cumsum(count), 0, batch.column(0).to_pylist()
+        for keys, texts in grouped(batches):
+            found, count = encoder(path).encode(texts, end)
+            ends, begin, names = np.cumsum(count), 0, keys.to_pylist()
             while begin < len(count):
                 before = int(ends[begin - 1]) if begin else 0
                 # As many documents as fit, one at least if the file is empty.

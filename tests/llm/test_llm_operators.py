@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -462,6 +463,26 @@ def test_cached_pieces_equal_whole_texts(monkeypatch):
         assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+def test_pieces_are_cut_where_no_id_reaches_across():
+    own, rng = tokens.Encoder(tokens.vocabulary()), random.Random(8)
+    signs = "ab1 \n\t.,'(’é你ا\x1c\x85\xa0\u1680\u2000\u2009\u2014\u2028\u202f\u205f\u3000\x00😀"
+    texts = ["", " ", "", "a.", ".b", " c", "\n", "d\n", "\ne", "x’s it's", "<|endoftext|>.", "", *("".join(rng.choices(signs + 9 * "ab \n", k=rng.randrange(30))) for _ in range(3000))]
+    whole = [[*e.ids, 7] for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for lo, hi in ((0, len(texts)), (5, 900)):
+        ids, counts = own.encode(pa.array(texts).slice(lo, hi - lo), 7)
+        assert ids.tolist() == [i for w in whole[lo:hi] for i in w] and counts.tolist() == [len(w) for w in whole[lo:hi]]
+    assert own.encode([None, ""])[1].tolist() == [0, 0] and own.encode([])[0].tolist() == []
+    pieces, before = tokens.split(pa.array(["One word, a word.\nword", "", "word"]))
+    assert pieces.to_pylist() == ["One", " word", ",", " a", " word", ".", "\n", "word", "word"] and before.tolist() == [0, 8, 8, 9]
+
+
+def test_batches_are_encoded_together(monkeypatch):
+    batches = [pa.record_batch([pa.array([i, i + 1]), pa.array(["x" * 10, "y"])], ["k", "t"]) for i in range(0, 10, 2)]
+    monkeypatch.setattr(tokens, "GROUP", 2 * batches[0].nbytes)
+    found = list(tokens.grouped(iter(batches)))
+    assert [k.to_pylist() for k, _ in found] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]] and found[2][1].to_pylist() == ["x" * 10, "y"]
+
+
 # 9 token files
 
 
