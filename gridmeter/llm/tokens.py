@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces kept by a Python worker, about 20 MB and as much again while they are looked up.
-CACHE = 600_000
+#: Pieces kept by a Python worker, and bytes for each of them on average.
+CACHE, LONG = 600_000, 64
 #: Bytes of the batches whose texts are encoded together: the more, the fewer look-ups start anew.
 GROUP = 16 << 20
 #: Pieces given to the tokenizer as one text, and pieces whose ids are laid out at once.
@@ -79,7 +79,7 @@ class Encoder:
 
     def encode(self, texts: list[str] | pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each followed by `end`, and how many each has."""
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > CACHE or self.pieces.nbytes > CACHE * LONG:
             self.forget()
         pieces, first = split(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""))
         at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy()

@@ -530,6 +530,13 @@ def test_range_coder_carries_and_groups(monkeypatch):
     assert coded_bits([*blocks, np.full(400, 65535, np.uint32)]) > 0
 
 
+def test_coded_bytes_stay():
+    rng = np.random.default_rng(11)
+    blocks = [(rng.zipf(1.2, 90 - i) % 40_000).astype(np.uint32) for i in range(60)]
+    blocks += [np.tile(rng.integers(0, 65536, 5), 12).astype(np.uint32), np.zeros(100, np.uint32), np.zeros(0, np.uint32)]
+    assert zlib.crc32(b"".join(rangecoder.encode(blocks))) == 0xeb2e524c
+
+
 def test_token_files_round_trip(spark, odd_rows, monkeypatch):
     monkeypatch.setattr(tokenfiles, "FILE", 3000)
     rows = [r for r in odd_rows if r[0] != 404]
