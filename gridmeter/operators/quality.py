@@ -135,14 +135,19 @@ def readiness(days: Column) -> Column:
 
 def forecast_eligibility(hourly: DataFrame, horizon: int = 1, series: str = "series_id") -> DataFrame:
     """Whether a series is long enough to forecast 1 or 24 hours ahead."""
+    available = hourly.groupBy(series).agg(F.count("*").alias("available_hours"))
+    return with_eligibility(available, horizon).select(series, "horizon", "required_hours", "available_hours", "status")
+
+
+def with_eligibility(series: DataFrame, horizon: int = 1) -> DataFrame:
+    """Adds horizon, required hours and status to one row a series, by its number of hours `available_hours`."""
     if horizon not in (1, 24):
         raise ValueError("horizon must be 1 or 24")
     required = MIN_HOURLY_HISTORY + (NEXT_DAY_EXTRA_HOURS if horizon == 24 else 0)
-    available = hourly.groupBy(series).agg(F.count("*").alias("available_hours"))
-    return available.select(
-        series, F.lit(horizon).alias("horizon"), F.lit(required).cast("long").alias("required_hours"), "available_hours",
-        F.when(F.col("available_hours") < required, "insufficient_history").otherwise("complete").alias("status"),
-    )
+    return series.withColumns({
+        "horizon": F.lit(horizon), "required_hours": F.lit(required).cast("long"),
+        "status": F.when(F.col("available_hours") < required, "insufficient_history").otherwise("complete"),
+    })
 
 
 def profile(df: DataFrame, cols: Sequence[str], series: str = "series_id", ts: str = "ts") -> DataFrame:
@@ -208,5 +213,5 @@ def assert_predictions(pred: DataFrame, threshold: Column | float, critical: Col
 __all__ = [
     "assert_features", "assert_predictions", "bounds", "clean_hourly", "duplicate_timestamps", "feature_violations",
     "forecast_eligibility", "hour_coverage", "negative_count", "null_counts", "partition_count", "prediction_violations",
-    "preprocess_report", "profile", "readiness", "reconcile",
+    "preprocess_report", "profile", "readiness", "reconcile", "with_eligibility",
 ]

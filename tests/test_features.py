@@ -143,3 +143,24 @@ def test_last_hours_of_the_advanced_table(spark, hours):
     whole = f.advanced_features(grid).join(ends, "series_id").filter("ts > end - INTERVAL 24 HOURS").drop("end")
     key = lambda df: sorted(map(repr, map(tuple, df.collect())))
     assert key(f.advanced_features(grid, last=24)) == key(whole)
+
+
+def test_features_of_the_hour_after_the_last_one(spark, hours):
+    rng = random.Random(6)
+    values = {"a": [rng.random() for _ in range(CHUNK_ROWS + 80)], "b": [rng.choice([None, 1.5, 0, 5.25]) for _ in range(260)], "c": [0.1] * 200,
+              "hole": [rng.random() for _ in range(300)] + [None] + [rng.random() for _ in range(30)], "new": [2.5], "dark": [None, None]}
+    ends = hours(values).groupBy("series_id").agg(F.max("ts").alias("last_ts"))
+    future = hours({s: [*v, None] for s, v in values.items()})
+    whole = f.advanced_features(future).join(ends, "series_id").filter("ts > last_ts - INTERVAL 23 HOURS")
+    got = f.end_features(f.series_ends(hours(values), 23))
+    assert got.columns == whole.columns
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert key(got) == key(whole) and len(key(got)) == 24 * 4 + 2 + 3
+
+
+def test_ends_need_no_complete_rows(spark):
+    rows = [("a", None, 1.0), (None, 3, 2.0), ("b", None, None), ("b", 5, float("nan")), ("b", 5, 1.0)]
+    grid = spark.createDataFrame(rows, "series_id string, h int, energy_kwh double").selectExpr("series_id", "timestamp_seconds(h * 3600) AS ts", "energy_kwh")
+    ends = f.series_ends(grid, 23)
+    assert {r.series_id: (r.available_hours, len(r._last)) for r in ends.collect()} == {"a": (1, 0), None: (1, 1), "b": (3, 2)}
+    assert sorted(str(r.series_id) for r in f.end_features(ends).collect()) == ["b", "b", "b"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.operators import features as f
 from gridmeter.operators import forecast as fc
+from gridmeter.operators.boosting import BoostedTrees, Tree
 from gridmeter.operators.split import chronological_split
 
 
@@ -94,3 +95,23 @@ def test_feature_exclusion(hours):
     clean = hours({"a": [1.0] * 3}).withColumns({"avg_voltage": F.lit(1.0), "is_long_gap": F.lit(0), "is_energy_outlier": F.lit(0)})
     cols = f.feature_columns(f.basic_features(clean))
     assert not set(cols) & {"energy_kwh", "avg_voltage", "is_long_gap", "is_energy_outlier", "ts", "series_id"} and len(cols) == 34
+
+
+def test_household_forecast_reads_all_hours_once(spark, hours):
+    values = {"a": daily_pattern(220), "hole": [*daily_pattern(219), None], "new": daily_pattern(100)}
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    tree = Tree([0, -1, -1], [0, 0, 0], [1, 0, 0], [2, 0, 0], [0.0, 2.0, 3.0], [1.0, 0.0, 0.0])
+    model = BoostedTrees(["lag_24"], [[1.0]], 0.5, False, [tree])
+    got = fc.forecast_households(hours(values).withColumn("energy_kwh", counted("energy_kwh")), model, 24).collect()
+    assert read.value == 540
+    by_series = {s: sorted((r for r in got if r.series_id == s), key=lambda r: str(r.ts)) for s in values}
+    assert [r.predicted for r in by_series["a"]] == [3.5 if v >= 1 else 2.5 for v in values["a"][173:197]]
+    assert {r.status for r in by_series["hole"]} == {"complete"} and len(by_series["hole"]) == 24
+    assert [(r.status, r.available_hours, r.ts) for r in by_series["new"]] == [("insufficient_history", 100, None)]
+    assert by_series["a"][0].threshold == pytest.approx(np.percentile(values["a"], 90))
